@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # The twenty canonical residues.
 CANONICAL_RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
@@ -70,10 +73,23 @@ def character_counts(col: Column) -> Column:
     )
 
 
+@F.pandas_udf(LongType())
+def top_character_count(texts: pd.Series) -> pd.Series:
+    """Occurrences of the most frequent character. Counting code points in numpy is
+    several times faster than one string replacement per distinct character."""
+
+    def top(text: str | None) -> int:
+        if not text:
+            return 0
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        return int(np.unique(points, return_counts=True)[1].max())
+
+    return texts.map(top).astype("int64")
+
+
 def top_character_share(col: Column) -> Column:
     """Share of the most frequent character; NULL for an empty string."""
-    counts = F.transform(character_counts(col), lambda e: e["n"])
-    return F.try_divide(F.array_max(counts).cast("double"), F.length(col).cast("double"))
+    return F.try_divide(top_character_count(col).cast("double"), F.length(col).cast("double"))
 
 
 def is_low_complexity(col: Column, limit: float = 0.6) -> Column:

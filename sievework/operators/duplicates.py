@@ -44,7 +44,7 @@ def mark_shared_ids(
         .agg(F.count(F.lit(1)).alias("_uses"))
         .filter(F.col("_uses") > 1)
     )
-    joined = attach_by_key(df, shared, keys, "_uses", spread)
+    joined = attach_by_key(df, shared, keys, "_uses", spread, unmatched=~filled)
     return joined.withColumn(out, F.col("_uses").isNotNull()).drop("_uses")
 
 

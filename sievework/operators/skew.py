@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most HOT_KEYS keys can each hold more than 1/HOT_KEYS of all rows, so the
-# list of hot keys has a fixed bound and may be broadcast at any data size.
-HOT_KEYS = 256
-SALTS = 64
+from ..session import materialise
+
+# At most SHARES keys can each hold more than 1/SHARES of all rows, so the list
+# of hot keys is bounded at any data size. Keys below HOT_ROWS need no help.
+SHARES = 4096
+HOT_ROWS = 100_000
 
 
 def attach_by_key(
@@ -18,26 +20,37 @@ def attach_by_key(
     weight: str,
     spread: Column,
     how: str = "left",
+    unmatched: Column | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``rows`` to ``table`` on ``keys``; ``table`` has one row per key.
 
-    ``weight`` in ``table`` counts the rows of a key. Keys above the hot share
-    are salted: their rows spread over ``SALTS`` tasks by the hash of ``spread``,
-    and their single table row is copied once per salt. Other keys keep salt 0.
+    ``weight`` in ``table`` counts the rows of a key. A hot key's rows spread
+    over so many tasks, by the hash of ``spread``, that each gets at most
+    1/SHARES of all rows; its one table row is copied as often. Rows for which
+    ``unmatched`` holds cannot find a partner and spread in the same way.
     """
-    total = table.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("total")).scalar()
-    hot = (
-        table.filter(F.col(weight) * HOT_KEYS > total)
-        .select(*keys, F.lit(SALTS).alias("_salts"))
-    )
-    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(
-            F.lit(0)
-        ).cast("int"),
-    ).drop("_salts")
-    copies = F.when(
-        F.col(weight) * HOT_KEYS > total, F.sequence(F.lit(0), F.lit(SALTS - 1))
-    ).otherwise(F.array(F.lit(0)))
-    salted_table = table.withColumn("_salt", F.explode(copies))
-    return salted_rows.join(salted_table, [*keys, "_salt"], how).drop("_salt")
+    table = materialise(table)
+    size = table.agg(F.sum(weight).alias("total"), F.max(weight).alias("peak")).first()
+    total = size["total"] or 0
+    limit = max(hot_rows, total // SHARES)
+    hot_keys = (size["peak"] or 0) > limit
+    if not hot_keys and unmatched is None:
+        return rows.join(table, keys, how)
+
+    salt = F.lit(0)
+    if hot_keys:
+        copies = F.ceil(F.col(weight) * SHARES / F.lit(total)).cast("int")
+        table = table.withColumn("_salts", F.when(F.col(weight) > limit, copies).otherwise(1))
+        hot = table.filter(F.col(weight) > limit).select(*keys, "_salts")
+        rows = rows.join(F.broadcast(hot), keys, "left")
+        salt = F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")
+        table = table.withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
+        ).drop("_salts")
+    else:
+        table = table.withColumn("_salt", F.lit(0))
+    if unmatched is not None:
+        salt = F.when(unmatched, F.pmod(F.xxhash64(spread), F.lit(SHARES)).cast("int")).otherwise(salt)
+    joined = rows.withColumn("_salt", salt).drop("_salts").join(table, [*keys, "_salt"], how)
+    return joined.drop("_salt")

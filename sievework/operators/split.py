@@ -145,8 +145,11 @@ def allocate_clusters(sizes: DataFrame, ratios: dict[str, float], seed: int) ->
 def assign_members(
     members: DataFrame, assignment: DataFrame, cluster: str, spread: Column
 ) -> DataFrame:
-    """Give every member the split of its cluster; large clusters spread over tasks."""
-    table = assignment.select(F.col("cluster").alias(cluster), "size", "split")
+    """Give every member the split (and any other column) of its cluster.
+
+    Large clusters spread over tasks.
+    """
+    table = assignment.withColumnRenamed("cluster", cluster)
     return attach_by_key(members, table, [cluster], "size", spread, how="inner").drop("size")
 
 

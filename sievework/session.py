@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +25,26 @@ def local_session(cores: int | str = "*", app: str = "sievework") -> SparkSessio
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset and the master is local, a temporary folder is made.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="sievework-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so a lost executor costs no recomputation.
+    """Write a table to the shared folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A
-    temporary folder is used only where that is unset and the master is local.
+    This cuts lineage through reliable storage, so a lost executor costs no
+    recomputation, and later readers still prune columns and know the size.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("Set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="sievework-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/sievework-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,9 +1,9 @@
 """Registered queries: each reads the shared tables and grows with them."""
 
-from . import curation
+from . import annotation, curation, splits
 
 QUERIES = {}
 ORACLES = {}
-for _module in (curation,):
+for _module in (curation, splits, annotation):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

@@ -11,7 +11,8 @@ from ..operators.duplicates import (
     mark_shared_ids,
     split_preferred_copies,
 )
-from .tables import table
+from ..session import materialise
+from .tables import table, text_table
 
 # DuckDB lacks Unicode classes for white space and expands no sharp s.
 SPACES = (
@@ -27,7 +28,7 @@ SQL_MARKED = f"""
 
 def sequence_normalise(spark, folder):
     seq = t.normalise_sequence(F.col("text"))
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents", "doc_id").select(
         "doc_id",
         F.length(seq).cast("bigint").alias("sequence_length"),
         t.sha256(seq).alias("sequence_sha256"),
@@ -35,12 +36,15 @@ def sequence_normalise(spark, folder):
 
 
 def marked_documents(spark, folder):
-    """Documents with the digest of their normalised text and the first copy of each."""
-    docs = table(spark, folder, "documents").select(
+    """Documents with the digest of their normalised text and the first copy of each.
+
+    The digests are stored once, so the long texts are read in a single pass.
+    """
+    docs = text_table(spark, folder, "documents", "doc_id").select(
         "doc_id", "lang", "source", "n_chars",
         t.sha256(t.normalise_sequence(F.col("text"))).alias("sha"),
     )
-    return mark_exact_duplicates(docs, "sha", "doc_id", F.col("doc_id"), "duplicate_of")
+    return mark_exact_duplicates(materialise(docs), "sha", "doc_id", F.col("doc_id"), "duplicate_of")
 
 
 def exact_duplicates(spark, folder):
@@ -48,12 +52,12 @@ def exact_duplicates(spark, folder):
 
 
 def preferred_copies(spark, folder):
-    docs = table(spark, folder, "documents").select(
+    docs = text_table(spark, folder, "documents", "doc_id").select(
         "doc_id",
         (F.col("lang") == "en").alias("is_background"),
         t.sha256(t.normalise_sequence(F.col("text"))).alias("sha"),
     )
-    _, rejected = split_preferred_copies(docs, "sha", ["is_background"], "doc_id")
+    _, rejected = split_preferred_copies(materialise(docs), "sha", ["is_background"], "doc_id")
     return rejected.select("doc_id", "related_accession", F.lit("exact_duplicate").alias("reason"))
 
 
@@ -154,7 +158,7 @@ def quality_summary(spark, folder):
 def screen_reasons(spark, folder):
     """Ordered screening reasons: length band, word, annotation and background group."""
     text = F.col("text")
-    docs = table(spark, folder, "documents").join(
+    docs = text_table(spark, folder, "documents", "doc_id").join(
         table(spark, folder, "labels"), "doc_id", "left"
     )
     return docs.select(
@@ -176,7 +180,7 @@ def screen_reasons(spark, folder):
 
 def low_complexity(spark, folder):
     share = t.top_character_share(F.col("text"))
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents", "doc_id").select(
         "doc_id", F.round(share, 9).alias("top_share"), (share > 0.18).alias("is_low_complexity")
     )
 
@@ -184,7 +188,7 @@ def low_complexity(spark, folder):
 def nonstandard_residues(spark, folder):
     """Characters of each normalised document outside the residue alphabet."""
     seq = t.normalise_sequence(F.col("text"))
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents", "doc_id").select(
         "doc_id", t.outside_alphabet(seq).alias("nonstandard"),
     )
 
@@ -212,7 +216,7 @@ def regex_miner(spark, folder):
 
 
 def word_flag(spark, folder):
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents", "doc_id").select(
         "doc_id", t.has_word(F.col("text"), "the").alias("has_word")
     )
 
