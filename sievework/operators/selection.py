@@ -93,8 +93,9 @@ def _fill_group(pool: DataFrame, quota: int, selected: list[dict], batch: int) -
             chosen = [row["sequence"] for row in selected + taken]
             rest = pool.filter(~F.col("rank").isin([row["rank"] for row in taken] or [-1]))
             rest = rest.filter(~_near_any(chosen)("sequence"))
-        order = [_seen(counts.tables[n], n) for n in STRATA] + [F.col("rank")]
-        rows = [r.asDict() for r in rest.orderBy(*order).limit(batch).collect()]
+        seen = {f"_seen_{n}": _seen(counts.tables[n], n) for n in STRATA}
+        ordered = rest.withColumns(seen).orderBy(*seen, "rank").limit(batch)
+        rows = [r.asDict() for r in ordered.drop(*seen).collect()]
         if not rows:
             break
         horizon = counts.key(rows[-1]) if len(rows) == batch else None
@@ -157,7 +158,7 @@ def diversity_select(
     every row selected so far, whatever its group.
     """
     spark = pool.sparkSession
-    c = columns
+    c = columns  # The pool is read several times, so it is stored once, evenly spread.
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -172,7 +173,7 @@ def diversity_select(
             length_bin(F.length(c.sequence)).cast("string").alias("bin"),
             text(c.source).alias("source"),
             F.col(c.rank).cast("bigint").alias("rank"),
-        )
+        ).repartition(spark.sparkContext.defaultParallelism, "rank")
     )
     selected: list[dict] = []
     exhausted: set[str] = set()
