@@ -20,19 +20,21 @@ def length_ratio(a: Column, b: Column) -> Column:
     return F.try_divide(shorter.cast("double"), longer.cast("double"))
 
 
-def shared_characters(counts_a: Column, counts_b: Column) -> Column:
-    """Size of the multiset intersection of two ``character_counts`` arrays."""
-    table = F.map_from_entries(counts_b)
+def shared_characters(counts_a: Column, table_b: Column) -> Column:
+    """Size of the multiset intersection of a ``character_counts`` array and a map of the same.
+
+    The map is a stored column: built inside the fold, it would be rebuilt per character.
+    """
     return F.aggregate(
         counts_a,
         F.lit(0),
-        lambda total, e: total + F.least(e["n"], F.coalesce(F.try_element_at(table, e["char"]), F.lit(0))),
+        lambda total, e: total + F.least(e["n"], F.coalesce(F.try_element_at(table_b, e["char"]), F.lit(0))),
     )
 
 
-def overlap_share(a: Column, b: Column, counts_a: Column, counts_b: Column) -> Column:
+def overlap_share(a: Column, b: Column, counts_a: Column, table_b: Column) -> Column:
     shorter = F.least(F.length(a), F.length(b)).cast("double")
-    return F.try_divide(shared_characters(counts_a, counts_b).cast("double"), shorter)
+    return F.try_divide(shared_characters(counts_a, table_b).cast("double"), shorter)
 
 
 def matched_share(a: str, b: str) -> float:

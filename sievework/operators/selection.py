@@ -213,7 +213,7 @@ def bounded_pairs(
         F.col(identity).alias("related_accession"),
         F.col(text).alias("_b"),
         F.col(order).alias("_order"),
-        character_counts(F.col(text)).alias("_cb"),
+        F.map_from_entries(character_counts(F.col(text))).alias("_cb"),
         F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"),
     )
     a, b = F.col("_a"), F.col("_b")
