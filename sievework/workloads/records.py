@@ -378,3 +378,45 @@ ORACLES = {
         union all select 'orders', * from ({_digest_sql("orders", ["o_orderkey"])})""",
     "content_digest": _digest_sql("documents", ["doc_id", "text", "lang", "source"]),
 }
+
+
+# --- receipts -------------------------------------------------------------
+
+
+def receipt_rules(spark, folder):
+    """One JSON receipt per order, some incomplete or wrong; all broken rules as rows."""
+    from ..operators import receipts as rc
+
+    key, flag = F.col("o_orderkey"), F.col("o_orderstatus")
+    digest = t.sha256(key.cast("string"))
+    body = F.to_json(
+        F.struct(
+            F.when(key % 7 != 0, flag).alias("status"),
+            F.struct(
+                F.when(key % 5 == 0, F.upper(digest)).when(key % 11 != 0, digest).alias("metadata.csv")
+            ).alias("output_sha256"),
+            (key % 13 == 0).alias("cluster_leakage"),
+            F.struct(F.floor(key / 10000).alias("discovery")).alias("counts"),
+        )
+    )
+    receipts = table(spark, folder, "orders").select("o_orderkey", F.parse_json(body).alias("doc"))
+    doc = F.col("doc")
+    errors = [
+        *rc.missing_fields(doc, "audit", ["status", "counts"]),
+        *rc.hash_errors(doc, "audit", [("output_sha256", "metadata.csv")]),
+        rc.expect(rc.equals(doc, ("cluster_leakage",), False), "cluster leakage"),
+        *rc.baseline_errors({"discovery": rc.literal(doc, "counts", "discovery")}, {"discovery": 0}),
+    ]
+    return rc.error_rows(receipts, "o_orderkey", errors).select("o_orderkey", "error")
+
+
+QUERIES["receipt_rules"] = receipt_rules
+ORACLES["receipt_rules"] = """with r as (select o_orderkey as k from orders), e as (
+        select k, 'missing receipt field: audit.status' as error from r where k % 7 = 0 union all
+        select k, 'invalid hash: audit.output_sha256.metadata.csv' from r
+          where k % 5 = 0 and upper(sha256(cast(k as varchar))) <> sha256(cast(k as varchar)) union all
+        select k, 'missing hash: audit.output_sha256.metadata.csv' from r where k % 5 <> 0 and k % 11 = 0 union all
+        select k, 'cluster leakage' from r where k % 13 = 0 union all
+        select k, 'frozen baseline mismatch: discovery is ' || (k // 10000) || ', expected 0' from r
+          where k // 10000 <> 0)
+    select k as o_orderkey, error from e"""
