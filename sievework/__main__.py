@@ -84,8 +84,10 @@ def parser() -> argparse.ArgumentParser:
     g = sub.add_parser("report", help="group summary of parsed labels")
     g.add_argument("--parsed-dir", required=True)
     g.add_argument("--groups", nargs="+", required=True)
+    g.add_argument("--accession", required=True)
     g.add_argument("--output-dir", required=True)
-    g.set_defaults(run=lambda spark, o: jobs.run_report(spark, o.parsed_dir, o.groups, o.output_dir))
+    g.set_defaults(run=lambda spark, o: jobs.run_report(
+        spark, o.parsed_dir, o.groups, o.accession, o.output_dir))
 
     v = sub.add_parser("validate", help="release receipts against frozen values; exit 1 on errors")
     for name in ("audit", "mmseqs", "split", "frozen"):

@@ -19,7 +19,7 @@ from ..sinks import fasta as fasta_sink
 from ..sinks.runs import guarded_folder, receipt
 from ..sinks.tables import markdown_table, write_csv, write_document, write_json_lines
 from ..sources import archives, delimited, documents, matches
-from ..sources.fasta import fasta_violations, read_fasta
+from ..sources.fasta import fasta_violations, headless_files, read_fasta
 from . import audit, pilot, scan, split_job
 
 # Columns of the pilot tables.
@@ -40,9 +40,11 @@ PILOT_HITS = (
     "score evalue domain_evalue sequence_length hit_length sequence_coverage hmm_coverage hit_status "
     "review_reason raw_result_reference"
 ).split()
-PILOT_LABELS = (
-    "internal_id sample_group scan_status detected label label_reason needs_review sequence_sha256"
-).split()
+def pilot_label_fields(accession: str) -> list[str]:
+    return [
+        "internal_id", "sample_group", "scan_status", f"{accession.lower()}_detected", "label",
+        "label_reason", "needs_review", "sequence_sha256",
+    ]
 
 
 def content_digest(df: DataFrame) -> str:
@@ -140,6 +142,7 @@ def run_scan(
     with guarded_folder(out) as folder:
         described = materialise(_typed_metadata(spark, metadata))
         sequences = materialise(read_fasta(spark, fasta))
+        c.enforce(headless_files(spark, fasta))
         c.enforce(fasta_violations(sequences))
         parts = delimited.read_csv(
             spark, manifest,
@@ -280,7 +283,11 @@ def run_parse(
             }
         )
         write_csv(_capital_flags(statuses), f"{folder}/pilot_scan_status", PILOT_STATUS, ["internal_id"], strict=False)
-        write_csv(_capital_flags(labelled), f"{folder}/pilot_labels", PILOT_LABELS, ["internal_id"], strict=False)
+        detected = f"{accession.lower()}_detected"
+        write_csv(
+            _capital_flags(labelled.withColumnRenamed("detected", detected)), f"{folder}/pilot_labels",
+            pilot_label_fields(accession), ["internal_id"], strict=False,
+        )
         if not error:
             hits = pilot.hit_table(labelled, database, str(xml))
             write_csv(hits, f"{folder}/pilot_hits", PILOT_HITS, ["internal_id", "start"])
@@ -288,10 +295,14 @@ def run_parse(
         return {r["scan_status"]: r["n"] for r in rows}
 
 
-def run_report(spark: SparkSession, parsed_dir: str, groups: list[str], out: str) -> list[dict[str, Any]]:
+def run_report(
+    spark: SparkSession, parsed_dir: str, groups: list[str], accession: str, out: str
+) -> list[dict[str, Any]]:
     """The checked group summary as CSV and Markdown."""
     flag = lambda name: F.col(name) == "True"
-    labels = delimited.read_csv(spark, f"{parsed_dir}/pilot_labels")
+    labels = delimited.read_csv(spark, f"{parsed_dir}/pilot_labels").withColumnRenamed(
+        f"{accession.lower()}_detected", "detected"
+    )
     statuses = delimited.read_csv(spark, f"{parsed_dir}/pilot_scan_status")
     typed_labels = labels.withColumns(
         {n: F.when(F.col(n) != "", F.col(n).try_cast("int")) for n in ("label", "detected")}
@@ -300,7 +311,9 @@ def run_report(spark: SparkSession, parsed_dir: str, groups: list[str], out: str
     with guarded_folder(out) as folder:
         c.enforce(label_violations(typed_labels, typed_statuses))
         joined = typed_labels.join(typed_statuses.select("internal_id", "submitted"), "internal_id")
-        table = group_summary(joined, "sample_group", groups)
+        table = group_summary(joined, "sample_group", groups).withColumnRenamed(
+            "positive", f"{accession.lower()}_positive"
+        )
         rows = [r.asDict() for r in table.collect()]
         write_csv(table, f"{folder}/pilot_group_summary", table.columns)
         lines = ["# Pilot report", "", *markdown_table(rows, table.columns), ""]

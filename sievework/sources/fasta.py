@@ -1,4 +1,4 @@
-"""FASTA input: records split by Spark at ``>``, so large files are read in parallel."""
+"""FASTA input: records split by Spark at header lines, so large files are read in parallel."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from ..operators import constraints as c
 
 
 def parse_entry(entry: Column, first_token: bool = False) -> Column:
-    """Header and joined sequence of one entry, given without its leading ``>``."""
+    """Header and joined sequence of one entry, with or without its leading ``>``."""
+    entry = F.regexp_replace(entry, "^>", "")
     header = strip_text(F.substring_index(entry, "\n", 1))
     body = F.when(F.locate("\n", entry) > 0, F.substring(entry, F.locate("\n", entry) + 1, F.length(entry)))
     identity = F.regexp_extract(header, r"^(\S*)", 1) if first_token else header
@@ -22,7 +23,7 @@ def parse_entry(entry: Column, first_token: bool = False) -> Column:
 
 def read_fasta(spark: SparkSession, path: str, first_token: bool = False) -> DataFrame:
     """Records (internal_id, sequence) of a FASTA file or folder. Check them with ``fasta_violations``."""
-    raw = spark.read.option("lineSep", ">").text(path)
+    raw = spark.read.option("lineSep", "\n>").text(path)
     return (
         raw.filter(F.regexp_replace("value", r"\s", "") != "")
         .select(parse_entry(F.col("value"), first_token).alias("r"))
@@ -30,6 +31,18 @@ def read_fasta(spark: SparkSession, path: str, first_token: bool = False) -> Dat
     )
 
 
+def headless_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files that have text before their first header. Only a file's first entry keeps its ``>``."""
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", "_metadata.file_path")
+    marked = raw.groupBy("file_path").agg(
+        F.count_if(F.col("value").startswith(">")).alias("headers"),
+        F.count_if(F.regexp_replace("value", r"\s", "") != "").alias("entries"),
+    )
+    return c.violation(
+        marked.filter("headers = 0 and entries > 0"), "FASTA sequence before header", F.col("file_path"), ""
+    )
+
+
 def fasta_violations(
     records: DataFrame, alphabet: str = CANONICAL_RESIDUES, id_pattern: str = r"^\S+$"
 ) -> DataFrame:
