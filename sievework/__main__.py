@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from .operators.split import parse_ratios
@@ -109,7 +110,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName(f"sievework-{options.job}").getOrCreate()
     try:
         result = options.run(spark, options)
-    except (ValueError, OSError) as error:
+    except (ValueError, OSError, PySparkException) as error:
         print(f"ERROR: {error}", file=sys.stderr)
         return 2
     if options.job == "validate":

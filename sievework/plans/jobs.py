@@ -208,9 +208,17 @@ def run_select(
             )
             records = materialise(records)
             c.enforce(pilot.schema_violations(records))
+            names = pilot.field_names(records).orderBy("level", "name").collect()
             part = pilot.screen(records, profile, F.lit(number > 0))
             screened = part if screened is None else screened.unionByName(part)
-            sources.append({"path": spec, "records": records.count()})
+            digest = table_digest(records, ["ordinal", "unique_sequence_id", "sequence"]).first()
+            sources.append(
+                {
+                    "path": spec, "records": digest["n_rows"], "content_sha256": digest["content_sha256"],
+                    "top_level_fields": [r["name"] for r in names if r["level"] == "record"],
+                    "annotation_fields": [r["name"] for r in names if r["level"] == "annotation"],
+                }
+            )
         screened = materialise(screened)
         manifest, excluded = pilot.select_pilot(screened, profile, targets, seed, exact_shuffle)
         manifest, excluded = materialise(manifest), materialise(excluded)
@@ -222,9 +230,9 @@ def run_select(
             F.count(F.lit(1)).alias("n"), F.count_distinct("organism").alias("organisms"),
         ).collect()
         summary = receipt(
-            {spec: "" for spec in inputs},
+            {spec["path"]: spec["content_sha256"] for spec in sources},
             {"pilot_manifest.csv": content_digest(manifest)},
-            seed, inputs=sources, target_counts=dict(zip(profile.groups, targets)),
+            seed, sources=sources, target_counts=dict(zip(profile.groups, targets)),
             actual_counts={r["sample_group"]: r["n"] for r in groups},
             organisms={r["sample_group"]: r["organisms"] for r in groups},
             passed_basic_qc=screened.filter("reason = ''").count(),

@@ -35,7 +35,8 @@ def write_csv(
         for name in fields
     ]
     rows.select(*cells).write.mode("errorifexists").csv(
-        path, header=True, escape='"', emptyValue="", nullValue=""
+        path, header=True, escape='"', emptyValue="", nullValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
 
 
