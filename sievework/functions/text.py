@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -46,8 +48,16 @@ def non_blank(col: Column) -> Column:
 
 
 def has_word(col: Column, word: str) -> Column:
-    """Whole-word, case-insensitive, Unicode-aware match (``_`` counts as a letter)."""
-    return F.coalesce(col.rlike(rf"(?iU)\b\Q{word}\E\b"), F.lit(False))
+    """Whole-word, case-insensitive, Unicode-aware match (``_`` counts as a letter).
+
+    The costly pattern runs only on texts that contain the longest part of the
+    word to which no other sign folds; ``i``, ``k`` and ``s`` have such signs.
+    """
+    match = col.rlike(rf"(?iU)\b\Q{word}\E\b")
+    part = max(re.split(r"[^a-hjl-rt-z]+", word.lower()), key=len)
+    if len(part) > 2:
+        match = F.when(F.lower(col).contains(part), match)
+    return F.coalesce(match, F.lit(False))
 
 
 def outside_alphabet(col: Column, alphabet: str = CANONICAL_RESIDUES) -> Column:
@@ -106,6 +116,11 @@ def split_types(raw: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(stripped)), F.array().cast("array<string>"))
 
 
+def split_type_set(raws: Column) -> Column:
+    """Sorted distinct types of an array of type fields; equal fields are parsed once."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(raws), split_types))))
+
+
 def mine_type_tags(text: Column, family: str, letter: str = "[a-z]") -> Column:
     """Family tags such as ``xyzA``: the family name and one letter, not followed by another."""
     found = F.regexp_extract_all(text, F.lit(rf"(?i)\Q{family}\E({letter})(?!{letter})"), 1)

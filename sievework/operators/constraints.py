@@ -23,6 +23,14 @@ def check(df: DataFrame, rule: str, broken: Column, key: Column, detail: Column
     return violation(df.filter(broken), rule, key, detail)
 
 
+def check_all(df: DataFrame, key: Column, rules: list[tuple[str, Column]]) -> DataFrame:
+    """Several rules over the same rows in one pass."""
+    broken = F.array_compact(F.array(*[F.when(condition, F.lit(rule)) for rule, condition in rules]))
+    return df.select(
+        F.explode(broken).alias("rule"), key.cast("string").alias("key"), F.lit("").alias("detail")
+    )
+
+
 def all_violations(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

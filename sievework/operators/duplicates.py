@@ -31,15 +31,24 @@ def mark_exact_duplicates(
 
 
 def mark_shared_ids(
-    df: DataFrame, keys: list[str], spread: Column, out: str = "is_duplicate_id"
+    df: DataFrame,
+    keys: list[str],
+    spread: Column,
+    out: str = "is_duplicate_id",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Flag every row whose key occurs on more than one row. Blank keys are no collision."""
+    """Flag every row whose key occurs on more than one row. Blank keys are no collision.
+
+    ``counted`` may name an earlier table with the same keys, so that counting
+    them does not repeat the joins that led to ``df``.
+    """
     filled = None
     for key in keys:
         present = F.col(key).isNotNull() & (F.col(key).cast("string") != "")
         filled = present if filled is None else filled & present
     shared = (
-        df.filter(filled)
+        (df if counted is None else counted)
+        .filter(filled)
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_uses"))
         .filter(F.col("_uses") > 1)

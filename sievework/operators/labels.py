@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .constraints import all_violations, check, unique_key
+from .constraints import all_violations, check_all, unique_key
 
 
 def label_violations(labels: DataFrame, statuses: DataFrame, key: str = "internal_id") -> DataFrame:
@@ -34,9 +34,8 @@ def label_violations(labels: DataFrame, statuses: DataFrame, key: str = "interna
         ("Successful classification cannot have blank label",
          present & (F.col("scan_status") == "success") & ~labelled),
     ]
-    frames = [check(pair, rule, broken, F.col(key)) for rule, broken in rules]
     return all_violations(
-        [*frames, unique_key(labels, [key], "duplicate label"), unique_key(statuses, [key], "duplicate status")]
+        [check_all(pair, F.col(key), rules), unique_key(labels, [key], "duplicate label"), unique_key(statuses, [key], "duplicate status")]
     )
 
 

@@ -5,8 +5,8 @@ Within a group the rule repeatedly takes the row with the least
 rejects the row if it nearly repeats a selected row, otherwise it selects it
 and raises the four counts. Counts only rise, and only on a selection. So:
 
-* the best few thousand rows under the present counts are enough to go on
-  with, as long as the best of them stays below the last row fetched;
+* the first rows of the best strata under the present counts are enough to go
+  on with, as long as the best of them stays below any row left outside;
 * a row left over was looked at if and only if its key lay below the key of
   some selected row at the moment that row was taken. That test needs only
   the selected rows, whose number the quotas bound.
@@ -20,15 +20,16 @@ from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
-from ..functions.similarity import is_near
 from ..functions.text import character_counts, length_bin
 from ..session import materialise
 
-BATCH = 2000
+# Rows fetched at once, and rows fetched per stratum. Both only set the pace.
+BATCH = 4000
+HEADS = 4
 
 # Reasons given to rows that were not selected.
 NEAR = "near_duplicate_of_selected_approximate"
@@ -63,12 +64,14 @@ def _near_any(chosen: list[str]):
 
     @F.pandas_udf("boolean")
     def near(sequences: pd.Series) -> pd.Series:
-        return pd.Series([any(is_near(s, c) for c in chosen) for s in sequences], dtype=bool)
+        return pd.Series([any(sim.is_near(s, c) for c in chosen) for s in sequences], dtype=bool)
 
     return near
 
 
 class _Counts:
+    """How often each stratum value was selected."""
+
     def __init__(self):
         self.tables = {name: Counter() for name in STRATA}
 
@@ -79,38 +82,85 @@ class _Counts:
         for name in STRATA:
             self.tables[name][row[name]] += 1
 
+    def copy(self) -> dict[str, dict[str, int]]:
+        return {name: dict(table) for name, table in self.tables.items()}
+
+
+class _Batch:
+    """The head rows of the best strata, and the least key a row outside can have."""
 
-def _fill_group(pool: DataFrame, quota: int, selected: list[dict], batch: int) -> list[dict]:
+    def __init__(self, pool: DataFrame, rest: DataFrame, counts: _Counts, quota: int, size: int):
+        within = Window.partitionBy(*STRATA).orderBy("rank")
+        heads = rest.withColumn("_head", F.row_number().over(within)).filter(F.col("_head") <= HEADS)
+        seen = {f"_seen_{n}": _seen(counts.tables[n], n) for n in STRATA}
+        ordered = heads.withColumns(seen).orderBy(*seen, "rank").limit(size)
+        self.rows = [r.asDict() for r in ordered.drop("_head", *seen).collect()]
+        self.counts = counts
+        self.last: dict[tuple, dict] = {}
+        sizes: Counter = Counter()
+        for row in self.rows:
+            stratum = tuple(row[n] for n in STRATA)
+            sizes[stratum] += 1
+            self.last[stratum] = row
+        # A stratum with all its heads here may go on beyond them, after the last one.
+        self.last = {k: row for k, row in self.last.items() if sizes[k] == HEADS}
+        self.horizon = None
+        if len(self.rows) == size:
+            self.horizon = counts.key(self.rows[-1])
+            self.before = counts.copy()
+            # With more values than the quota, one value always stays untouched.
+            self.values = {
+                n: [r[0] for r in pool.select(n).distinct().limit(quota + 1).collect()] for n in STRATA
+            }
+            self.quota = quota
+
+    def bound(self) -> tuple | None:
+        """A row outside lies beyond this key, whatever was selected since the fetch."""
+        bounds = [self.counts.key(row) for row in self.last.values()]
+        if self.horizon is not None:
+            rise = [
+                0 if len(values) > self.quota else min(
+                    self.counts.tables[n][v] - self.before[n].get(v, 0) for v in values
+                )
+                for n, values in self.values.items()
+            ]
+            bounds.append((*[h + r for h, r in zip(self.horizon, rise)], self.horizon[-1]))
+        return min(bounds, default=None)
+
+    def pop(self) -> dict | None:
+        """The best row of the pool, or None if it may lie outside the batch."""
+        if not self.rows:
+            return None
+        best = min(self.rows, key=self.counts.key)
+        limit = self.bound()
+        if limit is not None and self.counts.key(best) > limit:
+            return None
+        self.rows.remove(best)
+        return best
+
+
+def _fill_group(pool: DataFrame, quota: int, selected: list[dict], size: int) -> list[dict]:
     """Select up to ``quota`` rows of one group; returns them with the counts before each."""
     counts = _Counts()
     taken: list[dict] = []
-    tested = 0
+    rest = pool
     while len(taken) < quota:
-        rest = pool
-        if tested:
-            # Rows near the chosen ones are rejected in the cluster, so a large
-            # group of near copies cannot fill batch after batch.
-            chosen = [row["sequence"] for row in selected + taken]
-            rest = pool.filter(~F.col("rank").isin([row["rank"] for row in taken] or [-1]))
-            rest = rest.filter(~_near_any(chosen)("sequence"))
-        seen = {f"_seen_{n}": _seen(counts.tables[n], n) for n in STRATA}
-        ordered = rest.withColumns(seen).orderBy(*seen, "rank").limit(batch)
-        rows = [r.asDict() for r in ordered.drop(*seen).collect()]
-        if not rows:
+        batch = _Batch(pool, rest, counts, quota, size)
+        if not batch.rows:
             break
-        horizon = counts.key(rows[-1]) if len(rows) == batch else None
-        while rows and len(taken) < quota:
-            best = min(rows, key=counts.key)
-            if horizon is not None and counts.key(best) > horizon:
+        while len(taken) < quota:
+            row = batch.pop()
+            if row is None:
                 break
-            rows.remove(best)
-            tested += 1
-            if any(is_near(best["sequence"], c["sequence"]) for c in selected + taken):
+            if any(sim.is_near(row["sequence"], other["sequence"]) for other in selected + taken):
                 continue
-            taken.append({**best, "before": {n: dict(counts.tables[n]) for n in STRATA}})
-            counts.add(best)
-        if horizon is None and not rows:
-            break
+            taken.append({**row, "before": counts.copy()})
+            counts.add(row)
+        # Rows near the chosen ones are rejected in the cluster, so a large
+        # group of near copies cannot fill batch after batch.
+        chosen = [row["sequence"] for row in selected + taken]
+        rest = pool.filter(~F.col("rank").isin([row["rank"] for row in taken] or [-1]))
+        rest = rest.filter(~_near_any(chosen)("sequence"))
     return taken
 
 
@@ -140,7 +190,7 @@ def _classify(selected: list[dict], exhausted: set[str], groups: list[str]):
                 match = None
                 if known is not None:
                     match = next(
-                        (s["identity"] for s in selected[:known] if is_near(row["sequence"], s["sequence"])), None
+                        (s["identity"] for s in selected[:known] if sim.is_near(row["sequence"], s["sequence"])), None
                     )
                 reasons.append(UNUSED if known is None else NEAR)
                 related.append(match)

@@ -125,7 +125,11 @@ def cluster_sizes(members: DataFrame, cluster: str) -> DataFrame:
 
 
 def allocate_clusters(sizes: DataFrame, ratios: dict[str, float], seed: int) -> DataFrame:
-    """Add ``split`` to a table of (cluster, size), one row per cluster."""
+    """Add ``split`` to a table of (cluster, size), one row per cluster.
+
+    ``sizes`` is read three times (classes, bucket counts, ranks), so pass a
+    stored table.
+    """
     names = preferred_order(ratios)
     classes = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("clusters"))
     states = classes.groupBy().applyInPandas(

@@ -82,37 +82,27 @@ def _count(stats: Column, name: str) -> Column:
 
 def record_violations(records: DataFrame) -> DataFrame:
     """Missing fields, fields of the wrong kind and counts that disagree with the members."""
-    key = F.col("ordinal")
-    frames = [
-        c.check(records, f"missing required field {name}",
-                ~F.coalesce(F.array_contains("present", name), F.lit(False)), key)
-        for name in REQUIRED
+    has = {name: F.coalesce(F.array_contains("present", name), F.lit(False)) for name in REQUIRED}
+    members, stats = F.col("redundant_members_details"), F.col("cluster_statistics")
+    total, redundant = _count(stats, "total_original_sequences"), _count(stats, "redundant_count")
+    rules = [(f"missing required field {name}", ~has[name]) for name in REQUIRED]
+    rules += [
+        (f"{name} must be an object", has[name] & F.col(name).isNull())
+        for name in ("representative_annotation", "cluster_statistics")
     ]
-    has = {name: F.array_contains("present", name) for name in REQUIRED}
-    for name in ("representative_annotation", "cluster_statistics"):
-        frames.append(c.check(records, f"{name} must be an object", has[name] & F.col(name).isNull(), key))
-    members = F.col("redundant_members_details")
-    frames.append(
-        c.check(
-            records, "redundant_members_details must be a list of objects",
+    rules += [
+        (
+            "redundant_members_details must be a list of objects",
             has["redundant_members_details"]
-            & (members.isNull() | F.exists(members, lambda m: m.isNull())), key,
-        )
-    )
-    total, redundant = _count(F.col("cluster_statistics"), "total_original_sequences"), _count(
-        F.col("cluster_statistics"), "redundant_count"
-    )
-    parsed = F.col("cluster_statistics").isNotNull()
-    frames.append(
-        c.check(records, "invalid cluster statistics", parsed & (total.isNull() | redundant.isNull()), key)
-    )
-    frames.append(
-        c.check(
-            records, "cluster statistics disagree with redundant_members_details",
-            (total != F.size(members) + 1) | (redundant != F.size(members)), key,
-        )
-    )
-    return c.all_violations(frames)
+            & (members.isNull() | F.exists(members, lambda m: m.isNull())),
+        ),
+        ("invalid cluster statistics", stats.isNotNull() & (total.isNull() | redundant.isNull())),
+        (
+            "cluster statistics disagree with redundant_members_details",
+            (total != F.size(members) + 1) | (redundant != F.size(members)),
+        ),
+    ]
+    return c.check_all(records, F.col("ordinal"), rules)
 
 
 def field(annotation: Column, name: str) -> Column:
@@ -139,7 +129,7 @@ def audit_records(records: DataFrame, profile: AuditProfile) -> DataFrame:
     """
     p = profile
     rep, members = F.col("representative_annotation"), F.col("redundant_members_details")
-    types = lambda a: t.split_types(F.try_element_at(a, F.lit(p.types_field)))
+    raw_types = lambda a: F.try_element_at(a, F.lit(p.types_field))
     flagged = records.select(
         "ordinal",
         t.ordinal_id(p.id_prefix, F.col("ordinal")).alias("internal_id"),
@@ -152,12 +142,10 @@ def audit_records(records: DataFrame, profile: AuditProfile) -> DataFrame:
                 ("source_file", "source_file"), ("representative_gene", "gene"),
             ]
         ],
-        types(rep).alias("representative_types"),
+        t.split_types(raw_types(rep)).alias("representative_types"),
         _count(F.col("cluster_statistics"), "total_original_sequences").alias("member_count"),
         _count(F.col("cluster_statistics"), "redundant_count").alias("redundant_member_count"),
-        F.array_sort(
-            F.array_distinct(F.flatten(F.transform(F.concat(F.array(rep), members), types)))
-        ).alias("member_types"),
+        t.split_type_set(F.transform(F.concat(F.array(rep), members), raw_types)).alias("member_types"),
         is_partial(rep, p.partial_word).alias("is_partial_representative"),
         F.exists(members, lambda m: is_partial(m, p.partial_word)).alias("_partial_member"),
         (_unset(rep, "source_file") | F.exists(members, lambda m: _unset(m, "source_file"))).alias(
@@ -183,7 +171,9 @@ def audit_records(records: DataFrame, profile: AuditProfile) -> DataFrame:
         F.concat(F.lit("record_"), F.col("ordinal"))
     )
     marked = mark_exact_duplicates(flagged, "sequence_sha256", "ordinal", first_id)
-    marked = mark_shared_ids(marked, ["sequence_id"], F.col("ordinal"), "is_duplicate_id")
+    marked = mark_shared_ids(
+        marked, ["sequence_id"], F.col("ordinal"), "is_duplicate_id", counted=flagged
+    )
     copy = F.col("exact_duplicate_of").isNotNull()
     no_id, empty = F.col("sequence_id") == "", F.col("sequence") == ""
     odd = F.col("nonstandard_residues") != ""

@@ -55,15 +55,14 @@ def schema_violations(records: DataFrame) -> DataFrame:
     bad_members = has("redundant_members_details") & (
         members.isNull() | F.exists(members, lambda m: m.isNull())
     )
-    return c.all_violations(
+    return c.check_all(
+        records, key,
         [
-            c.check(records, "unsupported schema",
-                    ~has("sequence") | ~has("representative_annotation"), key),
-            c.check(records, "invalid annotation object/list",
-                    (has("representative_annotation") & F.col("representative_annotation").isNull())
-                    | bad_members, key),
-            c.check(records, "sequence must be string", has("sequence") & F.col("sequence").isNull(), key),
-        ]
+            ("unsupported schema", ~has("sequence") | ~has("representative_annotation")),
+            ("invalid annotation object/list",
+             (has("representative_annotation") & F.col("representative_annotation").isNull()) | bad_members),
+            ("sequence must be string", has("sequence") & F.col("sequence").isNull()),
+        ],
     )
 
 

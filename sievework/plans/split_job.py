@@ -41,7 +41,8 @@ def split_eligible(
     c.require_rows(pairs, "No clusters found")
     c.enforce(cluster_violations(pairs, expected))
     members = pairs.select("cluster", F.col("member").alias("internal_id"))
-    assignment = materialise(s.allocate_clusters(s.cluster_sizes(members, "cluster"), ratios, seed))
+    sizes = materialise(s.cluster_sizes(members, "cluster"))
+    assignment = s.allocate_clusters(sizes, ratios, seed)
     assigned = s.assign_members(members, assignment, "cluster", F.col("internal_id"))
     manifest = materialise(
         assigned.join(

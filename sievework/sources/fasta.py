@@ -50,9 +50,14 @@ def fasta_violations(
     key, sequence = F.col("internal_id"), F.col("sequence")
     return c.all_violations(
         [
-            c.check(records, "invalid FASTA ID", ~key.rlike(id_pattern), key),
-            c.check(records, "empty sequence", sequence == "", key),
-            c.check(records, "invalid FASTA sequence", ~only_alphabet(sequence, alphabet), key),
+            c.check_all(
+                records, key,
+                [
+                    ("invalid FASTA ID", ~key.rlike(id_pattern)),
+                    ("empty sequence", sequence == ""),
+                    ("invalid FASTA sequence", ~only_alphabet(sequence, alphabet)),
+                ],
+            ),
             c.unique_key(records, ["internal_id"], "repeated FASTA ID"),
         ]
     )

@@ -99,12 +99,14 @@ def cross_table_agreement(spark, folder):
 
 def json_key_union(spark, folder):
     """Keys found in a JSON column, with how often each occurs and its distinct values."""
-    events = table(spark, folder, "events")
-    keys = events.select("props", F.explode(F.json_object_keys("props")).alias("key"))
-    value = F.try_element_at(F.from_json("props", "map<string,string>"), F.col("key"))
-    return keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(value).alias("distinct_values"),
-        F.max(F.get_json_object("props", "$.absent.path")).alias("absent"),
+    entries = table(spark, folder, "events").select(
+        F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"),
+        F.get_json_object("props", "$.absent.path").alias("absent"),
+    )
+    # Equal entries are merged before the shuffle, so a frequent key is no burden.
+    merged = entries.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"), F.max("absent").alias("absent"))
+    return merged.groupBy("key").agg(
+        F.sum("n").alias("n"), F.count("value").alias("distinct_values"), F.max("absent").alias("absent")
     )
 
 

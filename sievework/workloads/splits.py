@@ -21,8 +21,13 @@ def _members(spark, folder):
     )
 
 
-def _assignment(spark, folder, seed=42, ratios=RATIOS):
-    return s.allocate_clusters(s.cluster_sizes(_members(spark, folder), "cluster"), ratios, seed)
+def _sizes(members):
+    """Cluster sizes, counted once and stored for the readers that follow."""
+    return materialise(s.cluster_sizes(members, "cluster"))
+
+
+def _assignment(spark, folder):
+    return s.allocate_clusters(_sizes(_members(spark, folder)), RATIOS, 42)
 
 
 def greedy_split(spark, folder):
@@ -32,7 +37,7 @@ def greedy_split(spark, folder):
 def greedy_split_three(spark, folder):
     """Three splits, two of them with equal ratios, over the events of each user."""
     events = table(spark, folder, "events").select(F.col("user_id").cast("string").alias("cluster"))
-    return s.allocate_clusters(s.cluster_sizes(events, "cluster"), THREE_WAY, 7)
+    return s.allocate_clusters(_sizes(events), THREE_WAY, 7)
 
 
 def manifest(spark, folder):
@@ -84,7 +89,7 @@ def split_leakage(spark, folder):
 
 
 def split_agreement(spark, folder):
-    sizes = materialise(s.cluster_sizes(_members(spark, folder), "cluster"))
+    sizes = _sizes(_members(spark, folder))
     return s.split_agreement(
         s.allocate_clusters(sizes, RATIOS, 42), s.allocate_clusters(sizes, RATIOS, 43),
         "cluster", "size",
