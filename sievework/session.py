@@ -27,19 +27,26 @@ def local_session(cores: int | str = "*", app: str = "sievework") -> SparkSessio
     )
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset and the master is local, a temporary folder is made.
+    Only where that is unset and the master is local, a temporary folder is
+    made; it goes away with the process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a shared folder")
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a shared folder")
+    if context.applicationId not in _LOCAL_FOLDERS:
         folder = tempfile.mkdtemp(prefix="sievework-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        _LOCAL_FOLDERS[context.applicationId] = folder
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def materialise(df: DataFrame) -> DataFrame:

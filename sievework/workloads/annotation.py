@@ -264,7 +264,8 @@ def coordinate_integrity(spark, folder):
         "p_partkey", position.alias("position"), letter.alias("residue"),
         (F.col("i") + F.col("p_size")).alias("state"),
     )
-    twice = coordinates.filter("p_partkey % 50 = 0 and position = 2")
+    doubled = parts.filter("p_brand = 'Brand#7'").select("p_partkey")
+    twice = coordinates.join(doubled, "p_partkey", "left_semi").filter("position = 2")
     return c.coordinate_integrity(
         coordinates.unionByName(twice), parts, "p_partkey", "position", "residue", "p_name",
         ["p_partkey"], "state", 60,
@@ -398,11 +399,11 @@ ORACLES = {
         select c_custkey, coalesce(n, 0) as n_results,
           case when n is null then 'result_missing' else 'success' end as state
         from customer left join r on o_custkey = c_custkey""",
-    "coordinate_integrity": """with x as (select p_partkey, p_size, p_name, unnest(range(0, length(p_name))) as i from part),
+    "coordinate_integrity": """with x as (select p_partkey, p_size, p_name, p_brand, unnest(range(0, length(p_name))) as i from part),
         base as (select p_partkey, p_name, case when p_size = 50 then i else i + 1 end as position,
             case when p_size = 49 then upper(substr(p_name, i + 1, 1)) else substr(p_name, i + 1, 1) end as residue,
-            i + p_size as state from x),
-        rows as (select * from base union all select * from base where p_partkey % 50 = 0 and position = 2)
+            i + p_size as state, p_brand from x),
+        rows as (select * from base union all select * from base where p_brand = 'Brand#7' and position = 2)
         select distinct 'residue identity' as rule, p_partkey || ':' || position as key,
             case when position < 1 then substr(p_name, 1, 1) else substr(p_name, position, 1) end as detail
           from rows where position < 1 or substr(p_name, position, 1) <> residue
