@@ -10,7 +10,6 @@ from __future__ import annotations
 import codecs
 import glob
 import hashlib
-import io
 import json
 import zipfile
 from collections.abc import Iterator
@@ -27,7 +26,7 @@ def open_member(archive: str, member: str):
     handle = zipfile.ZipFile(archive)
     *outer, last = member.split("::")
     for name in outer:
-        handle = zipfile.ZipFile(io.BytesIO(handle.read(name)))
+        handle = zipfile.ZipFile(handle.open(name))  # Seeks instead of holding it in memory.
     if last not in handle.namelist():
         base = last.rsplit("/", 1)[-1].lower()
         similar = [n for n in handle.namelist() if n.rsplit("/", 1)[-1].lower() == base]
