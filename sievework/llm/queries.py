@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, graph, html, language, mixing, packing, sharding, toxicity
+from . import ann, graph, html, jaccard, language, mixing, packing, sharding, toxicity
 from .base import Scratch, table
 
 CAPACITY = 2048
@@ -60,11 +60,16 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar_documents(Scratch(spark), table(spark, sf_dir, "documents"), size=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(Scratch(spark), table(spark, sf_dir, "documents"), CAPACITY)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op3_language, op4_sharding, op5_mixing, op6_html, op7_nearest, op9_packing, op10_near_vectors)
+    f.__name__: f for f in (op2_toxicity, op3_language, op4_sharding, op5_mixing, op6_html, op7_nearest, op8_jaccard_join, op9_packing, op10_near_vectors)
 }
 ORACLES: dict[str, str] = {}
