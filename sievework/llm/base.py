@@ -110,3 +110,11 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 def code_point_order(name: str) -> Column:
     """Sort key: NULL last, else the order of UTF-8 bytes, which is that of code points."""
     return F.struct(F.col(name).isNull().alias("_null"), F.col(name).alias("_value"))
+
+
+def attached(joined: DataFrame, decisions: DataFrame, identity: list[str]) -> DataFrame:
+    """Rows with a decision for their identity, once each where ``decisions._rows`` counts several."""
+    if decisions.filter("_rows > 1").isEmpty():
+        return joined
+    once = joined.filter("_rows > 1").dropDuplicates(identity)
+    return joined.filter("_rows is null or _rows = 1").union(once)

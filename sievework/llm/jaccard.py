@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch
+from .base import Scratch, attached
 from .links import linked_groups, text_key
 from .words import mix, shingles, sub_batches, words
 
@@ -166,14 +166,15 @@ def _signatures(shared: DataFrame, percent: int, rare: int) -> DataFrame:
 def similar_documents(
     scratch: Scratch, docs: DataFrame, size: int = 3, percent: int = 90, rare: int = RARE, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``(key, text_key, n_shingles, component_id)``: one row per row of ``docs``.
+    """``(key, text_key, n_shingles, component_id, group_id)``: one row per row of ``docs``.
 
     Two documents link when ``100 * intersection >= percent * union`` of their
     sets of ``size``-word shingles (``A``–``Z`` lower-cased; fewer words: the whole
     sequence as one). ``component_id`` is the smallest key reachable by links, the
     own one included. Texts without words, NULL texts and so empty sets link with
     nothing. Rows that repeat a text link with each other, even with one key;
-    NULL keys count as larger than all others. Shingles are compared by 64-bit hashes.
+    NULL keys count as larger than all others. ``group_id`` names the group of links
+    (NULL for empty sets). Shingles are compared by 64-bit hashes.
     """
     narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), text_key(text).alias("_tk"))
     heads = scratch.keep(_prefixes(narrow, size, percent))
@@ -207,13 +208,36 @@ def similar_documents(
 
     rooted = scratch.keep(sets.select("d0", "d1", "node", "least").join(groups, "node", "left"))
     smallest = rooted.filter("root is not null").groupBy("root").agg(F.min("least").alias("group_least"))
-    placed = rooted.join(smallest, "root", "left").select("d0", "d1", F.coalesce("group_least", "least").alias("component"))
+    placed = rooted.join(smallest, "root", "left").select(
+        "d0", "d1", F.coalesce("group_least", "least").alias("component"), F.coalesce("root", "node").alias("group_id")
+    )
     linked = rows.filter("n > 0").join(placed, ["d0", "d1"])
-    alone = rows.filter("n = 0").withColumn("component", F.col("_key"))
+    alone = rows.filter("n = 0").withColumns({"component": F.col("_key"), "group_id": F.lit(None).cast("long")})
     columns = [
         F.col("_key").alias(key), F.col("_tk").alias("text_key"), F.col("n").cast("long").alias("n_shingles"),
-        F.col("component").alias("component_id"),
+        F.col("component").alias("component_id"), "group_id",
     ]
     result = scratch.keep(linked.select(*columns).union(alone.select(*columns)))
     scratch.drop(sets, rows, groups, rooted)
     return result
+
+
+def one_per_group(
+    scratch: Scratch, docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of linked documents keeps one.
+
+    The smallest key stays, a NULL key only if there is no other; of equal keys the
+    text with the smallest digest, and one of rows that agree in both. Texts
+    without words all stay. All columns are kept.
+    """
+    found = similar_documents(scratch, docs, size, percent, key=key, text=text)
+    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("text_key").alias("tk"))
+    same = found.filter("group_id is not null").groupBy("group_id", key, "text_key").agg(F.count("*").alias("_rows"))
+    won = same.groupBy("group_id").agg(F.min(F.struct(rank.alias("rank"), F.col("_rows").alias("rows"))).alias("best"))
+    winners = scratch.keep(won.select(F.col("best.rank.id").alias("_k"), F.col("best.rank.tk").alias("_t"), F.col("best.rows").alias("_rows")))
+    scratch.drop(found)
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = docs.withColumn("_tk", F.when(worded, text_key(text)))
+    joined = named.join(winners, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_tk") == F.col("_t")), "left")
+    return attached(joined.filter(~worded | F.col("_t").isNotNull()), winners, [key, "_tk"]).select(*docs.columns)

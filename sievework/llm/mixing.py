@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, code_point_order, numbered
+from .base import Scratch, attached, code_point_order, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -98,3 +98,22 @@ def mix_documents(
             (F.col("copies") * F.col("_size")).cast("long").alias("taken"), F.col("_text").alias("text_hash"),
         )
     )
+
+
+def mixed_rows(
+    scratch: Scratch, docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, seed: int = 0,
+    key: str = "doc_id", text: str = "text", source: str = "source",
+) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns.
+
+    Rows that agree in key, text and source are taken as one row, as often as all of them together.
+    """
+    mixed = mix_documents(scratch, docs, weights, share, most, seed, key, text, source)
+    decided = scratch.keep(
+        mixed.groupBy(F.col(key).alias("_k"), F.col("text_hash").alias("_t"), F.col("source").alias("_s"))
+        .agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
+    )
+    named = docs.withColumn("_hash", F.xxhash64(F.col(text)))
+    same = (F.col("_hash") == F.col("_t")) & F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s"))
+    rows = attached(named.join(decided, same), decided, [key, "_hash", source])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

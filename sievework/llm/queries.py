@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, graph, html, jaccard, language, mixing, packing, sharding, toxicity
+from . import ann, graph, html, jaccard, language, mixing, packing, sharding, substrings, toxicity
 from .base import Scratch, table
 
 CAPACITY = 2048
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text after removal, and what was removed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = substrings.remove_repeats(Scratch(spark), docs)
+    return cleaned.select(
+        "doc_id", "text", F.col("_removed_words").alias("removed_words"), F.col("_removed_runs").alias("removed_runs")
+    )
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category probabilities of every document, and whether it counts as toxic."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,6 +79,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op3_language, op4_sharding, op5_mixing, op6_html, op7_nearest, op8_jaccard_join, op9_packing, op10_near_vectors)
+    f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_language, op4_sharding, op5_mixing, op6_html, op7_nearest, op8_jaccard_join, op9_packing, op10_near_vectors)
 }
 ORACLES: dict[str, str] = {}
