@@ -176,7 +176,7 @@ def pack_documents(
     Pieces are numbered in the order (length, id, piece, CRC); the histogram and
     the plan hold at most a few numbers per length whatever the number of rows.
     """
-    cut = cut_documents(docs, capacity, vocabulary, key, text)
+    cut = scratch.keep(cut_documents(docs, capacity, vocabulary, key, text))  # the range sort reads it twice
     pieces = numbered(scratch, cut, ["length", "_key", "piece", "ids_crc32"], "_row")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     plan, _ = plan_bins(counts, capacity)
