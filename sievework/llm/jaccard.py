@@ -38,7 +38,7 @@ def misses(n: np.ndarray, percent: int) -> np.ndarray:
 
 def _surplus(n: np.ndarray, percent: int) -> np.ndarray:
     """Tokens that the first, longer prefix must share; it never falls as ``n`` grows."""
-    return 1 + misses(n, percent) // 2
+    return 1 + misses(n, percent)
 
 
 def _least_surplus(n: np.ndarray, percent: int) -> np.ndarray:
@@ -195,8 +195,9 @@ def similar_documents(
     active = scratch.keep(
         sets.select("node", "n", "tk").join(shares, "node").join(needed, "n").filter("shared >= needed").select("node", "tk")
     )
-    texts = narrow.join(active, F.col("_tk") == F.col("tk"), "inner").select("node", "_text")
-    full = scratch.keep(_token_sets(texts, size).groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    # the join has brought equal texts together, so one of each is chosen without another shuffle
+    texts = narrow.join(active, F.col("_tk") == F.col("tk"), "inner").dropDuplicates(["_tk"]).select("node", "_text")
+    full = scratch.keep(_token_sets(texts, size))
 
     # 2. rare tokens first; single rare tokens and pairs of frequent ones
     token = full.select("node", F.explode("tokens").alias("token"))

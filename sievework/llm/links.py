@@ -21,6 +21,7 @@ from .groups import by_block, groups_of, in_block_pairs
 
 BITS = 512
 BLOCK = 512
+HEADS = 32  # of a set's buckets, the smallest; a pair is left to the smallest of them that both have
 
 
 def reaches(inter, left, right, percent: int):
@@ -94,7 +95,8 @@ def linked_groups(scratch: Scratch, buckets: DataFrame, sets: DataFrame, percent
     labelled = scratch.keep(starred.join(roots, "node", "left").select("sig", "node", "pivot", label.alias("root")))
     scratch.drop(starred)
     mixed = labelled.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("sig")
-    open_rows = labelled.join(mixed, "sig").join(with_bitmaps(sets), "node")
+    smallest = labelled.join(mixed, "sig").groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, HEADS).alias("heads"))
+    open_rows = labelled.join(mixed, "sig").join(with_bitmaps(sets).join(smallest, "node"), "node")
     blocks = by_block(in_block_pairs(open_rows, "sig", "node", BLOCK), "sig")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +105,11 @@ def linked_groups(scratch: Scratch, buckets: DataFrame, sets: DataFrame, percent
             node, pivot, root, n, own = (group.column(c).to_numpy() for c in ("node", "pivot", "root", "n", "_own"))
             i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            sig = group.column("sig")[0].as_py()
+            heads = np.full((len(node), HEADS), sig)
+            lists = group.column("heads")
+            sizes = np.diff(lists.offsets.to_numpy())
+            heads[np.arange(HEADS) < sizes[:, None]] = lists.flatten().to_numpy()
             bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
             for a in left:
                 b = right[(root[right] != root[a])]
@@ -116,6 +123,9 @@ def linked_groups(scratch: Scratch, buckets: DataFrame, sets: DataFrame, percent
                 differ = np.bitwise_count(bits[b] ^ bits[a]).sum(axis=1)
                 total = n[a].astype(np.int64) + n[b]
                 b = b[(100 + percent) * differ.astype(np.int64) <= (100 - percent) * total]
+                earlier = heads[a][heads[a] < sig]
+                if len(b) and len(earlier):
+                    b = b[~np.isin(heads[b], earlier).any(axis=1)]
                 if len(b):
                     found.append((np.minimum(node[a], node[b]), np.maximum(node[a], node[b])))
             if len(found) >= 1024:
