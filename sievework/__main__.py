@@ -70,10 +70,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--family", required=True)
     p.add_argument("--target-tag", required=True)
     p.add_argument("--groups", nargs=3, required=True, help="clear, conflicting, background")
-    p.add_argument("--hash-rank", action="store_true", help="rank by hash, for pools of any size")
     p.set_defaults(run=lambda spark, o: jobs.run_select(
         spark, [o.input_json, *o.background_json], o.output_dir,
-        PilotProfile(o.family, o.target_tag, tuple(o.groups)), tuple(o.targets), o.seed, not o.hash_rank))
+        PilotProfile(o.family, o.target_tag, tuple(o.groups)), tuple(o.targets), o.seed))
 
     r = sub.add_parser("parse", help="scan results to labels under frozen rules")
     for name in ("pilot-dir", "run-dir", "rules", "database", "accession", "output-dir"):

@@ -20,13 +20,17 @@ class HitRules:
     min_hmm_coverage: float = 0.5
 
 
+#: Decimal notation only; a cast alone would also take ``1d``, ``1f`` and ``0x1p3``.
+DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def parse_nonnegative(raw: Column) -> Column:
     """Blank gives NULL; anything else must be a finite number that is not negative."""
     return F.when(is_nonnegative_number(raw), raw.try_cast("double"))
 
 
 def is_nonnegative_number(raw: Column) -> Column:
-    number = raw.try_cast("double")
+    number = F.when(raw.rlike(DECIMAL), raw.try_cast("double"))
     infinite = number == F.lit(float("inf"))
     return F.coalesce(~F.isnan(number) & (number >= 0) & ~infinite, F.lit(False))
 

@@ -137,14 +137,22 @@ def coordinate_integrity(
 ) -> DataFrame:
     """Each residue equals its sequence at that position; positions are unique per ``unit``.
 
-    Positions are compared after grouping coordinates by sequence position, so
-    the long sequences are joined once per distinct (identity, position).
+    Sequences are cut into single letters and joined on (identity, position), so
+    the work is linear in their length and one long sequence spreads over tasks.
     """
     letters = coordinates.groupBy(identity, position, residue).agg(F.count(F.lit(1)).alias("_n"))
-    joined = letters.join(sequences.select(identity, sequence), identity, "left")
+    cells = F.posexplode(F.split(F.col(sequence), "")).alias("_at", "_letter")
+    single = sequences.select(identity, cells).filter("_letter <> ''")
+    single = single.select(identity, (F.col("_at") + 1).cast("int").alias("_position"), "_letter")
+    known = sequences.select(identity, F.lit(True).alias("_known"))
+    here = F.greatest(F.col(position).cast("int"), F.lit(1)) == F.col("_position")
+    joined = (
+        letters.join(single.withColumnRenamed(identity, "_owner"), (F.col(identity) == F.col("_owner")) & here, "left")
+        .join(known, identity, "left")
+    )
     name = F.concat_ws(":", F.col(identity).cast("string"), F.col(position).cast("string"))
-    right = F.substring(F.col(sequence), F.col(position).cast("int"), F.lit(1))
-    wrong = F.col(sequence).isNull() | (F.col(position) < 1) | (right != F.col(residue))
+    right = F.coalesce(F.col("_letter"), F.when(F.col("_known"), F.lit("")))
+    wrong = F.col("_known").isNull() | (F.col(position) < 1) | (right != F.col(residue))
     frames = [
         check(joined, "residue identity", wrong, name, F.coalesce(right, F.lit("unknown sequence"))),
         unique_key(coordinates, [*unit, position], "coordinate uniqueness"),

@@ -68,8 +68,8 @@ def split_preferred_copies(
     order = F.struct(*preference, identity)
     winners = df.groupBy(digest).agg(
         F.min_by(identity, order).alias("_kept"), F.count(F.lit(1)).alias("_copies")
-    )
+    ).filter("_copies > 1")
     joined = attach_by_key(df, winners, [digest], "_copies", F.col(identity))
-    kept = joined.filter(F.col(identity) == F.col("_kept")).drop("_kept", "_copies")
+    kept = joined.filter(F.col("_kept").isNull() | (F.col(identity) == F.col("_kept"))).drop("_kept", "_copies")
     rejected = joined.filter(F.col(identity) != F.col("_kept")).drop("_copies")
     return kept, rejected.withColumnRenamed("_kept", "related_accession")

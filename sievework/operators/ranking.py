@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sha256
 
-# A shuffle in Python's own generator needs the whole permutation in memory.
-SHUFFLE_LIMIT = 5_000_000
-
 
 def tie_key(seed: int, *columns) -> F.Column:
     """SHA-256 of ``seed:value[:value…]``: a seeded order that any engine can repeat."""
@@ -59,22 +53,3 @@ def seeded_rank(df: DataFrame, identity: list[str], seed: int, out: str = "rank"
     """A seeded permutation rank, computed from row identities alone."""
     keyed = df.withColumn("_tie", tie_key(seed, *[F.col(c) for c in identity]))
     return bucketed_rank(keyed, [], "_tie", out).drop("_tie")
-
-
-def shuffled_rank(df: DataFrame, order: list[str], seed: int, out: str = "rank") -> DataFrame:
-    """Rank by the standard library's seeded shuffle of the rows in ``order``.
-
-    This repeats an order that depends only on (row count, seed), for pools of
-    pilot size. It refuses larger pools; use ``seeded_rank`` there.
-    """
-    n = df.count()
-    if n > SHUFFLE_LIMIT:
-        raise ValueError(f"{n} rows exceed the shuffle limit; use seeded_rank")
-    places = list(range(n))
-    random.Random(seed).shuffle(places)
-    ranks = pd.DataFrame({"_place": places, out: range(n)}).astype("int64")
-    table = df.sparkSession.createDataFrame(ranks, f"_place bigint, {out} bigint")
-    placed = df.withColumn(
-        "_place", F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1
-    )
-    return placed.join(table, "_place").drop("_place")

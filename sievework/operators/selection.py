@@ -249,8 +249,8 @@ def bounded_pairs(
 ) -> DataFrame:
     """Candidates and selected rows that pass the length and character bounds.
 
-    ``selected`` is a quota-bounded list, so it is copied to every task; pairs
-    meet only within neighbouring length buckets, and every bound is native.
+    Pairs meet only within neighbouring length buckets, and every bound is
+    native. Whether ``selected`` is copied to every task is left to Spark, which knows its size.
     """
     bucket = sim.length_bucket(F.length(text))
     left = candidates.select(
@@ -267,7 +267,7 @@ def bounded_pairs(
         F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"),
     )
     a, b = F.col("_a"), F.col("_b")
-    pairs = left.join(F.broadcast(right), "_bucket").filter(
+    pairs = left.join(right, "_bucket").filter(
         (F.col(identity) != F.col("related_accession"))
         & (sim.length_ratio(a, b) >= sim.MIN_LENGTH_RATIO)
     )

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 # At most SHARES keys can each hold more than 1/SHARES of all rows, so the list
-# of hot keys is bounded at any data size. Keys below HOT_ROWS need no help.
+# of hot keys is bounded at any data size.
 SHARES = 4096
-HOT_ROWS = 100_000
 
 
 def attach_by_key(
@@ -21,7 +20,6 @@ def attach_by_key(
     spread: Column,
     how: str = "left",
     unmatched: Column | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``rows`` to ``table`` on ``keys``; ``table`` has one row per key.
 
@@ -33,14 +31,14 @@ def attach_by_key(
     table = materialise(table)
     size = table.agg(F.sum(weight).alias("total"), F.max(weight).alias("peak")).first()
     total = size["total"] or 0
-    limit = max(hot_rows, total // SHARES)
+    limit = max(1, total // SHARES)
     hot_keys = (size["peak"] or 0) > limit
     if not hot_keys and unmatched is None:
         return rows.join(table, keys, how)
 
     salt = F.lit(0)
     if hot_keys:
-        copies = F.ceil(F.col(weight) * SHARES / F.lit(total)).cast("int")
+        copies = F.least(F.ceil(F.col(weight) * SHARES / F.lit(total)), F.col(weight)).cast("int")
         table = table.withColumn("_salts", F.when(F.col(weight) > limit, copies).otherwise(1))
         hot = table.filter(F.col(weight) > limit).select(*keys, "_salts")
         rows = rows.join(F.broadcast(hot), keys, "left")

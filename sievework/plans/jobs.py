@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,7 +198,7 @@ def run_scan(
 
 def run_select(
     spark: SparkSession, inputs: list[str], out: str, profile: pilot.PilotProfile,
-    targets: tuple[int, int, int], seed: int, exact_shuffle: bool = True,
+    targets: tuple[int, int, int], seed: int,
 ) -> dict[str, Any]:
     """Screen and select a pilot. The first input is the main source; others are background."""
     if len(inputs) != len(set(inputs)):
@@ -220,7 +223,7 @@ def run_select(
                 }
             )
         screened = materialise(screened)
-        manifest, excluded = pilot.select_pilot(screened, profile, targets, seed, exact_shuffle)
+        manifest, excluded = pilot.select_pilot(screened, profile, targets, seed)
         manifest, excluded = materialise(manifest), materialise(excluded)
         write_csv(manifest, f"{folder}/pilot_manifest", PILOT_MANIFEST, ["internal_id"], strict=False)
         write_csv(excluded, f"{folder}/excluded_or_qc_sequences", PILOT_EXCLUDED)
@@ -272,7 +275,14 @@ def run_parse(
                 ids = spark.createDataFrame([(i,) for i in run.get("ids", [])], "internal_id string")
                 c.enforce(c.set_difference(ids, manifest, "internal_id"))
                 c.enforce(pilot.xref_violations(proteins, manifest))
-            except Exception as problem:  # An unreadable result makes every record "parse_failed".
+            except (ValueError, OSError, AnalysisException) as problem:  # A result that is wrong, unreadable or no XML.
+                error, cause = "parse_failed", str(problem)
+                (folder / "parse_error.log").write_text(cause, encoding="utf-8")
+            except (PySparkException, Py4JJavaError) as problem:  # Broken XML; a lost executor stays an error.
+                if not re.search("MALFORMED|FAILED_READ_FILE", str(problem)):
+                    raise
+                error, cause = "parse_failed", str(problem)
+                (folder / "parse_error.log").write_text(cause, encoding="utf-8")
                 error, cause = "parse_failed", str(problem)
                 (folder / "parse_error.log").write_text(cause, encoding="utf-8")
         if error:

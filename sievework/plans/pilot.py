@@ -14,7 +14,7 @@ from ..operators import constraints as c
 from ..operators import selection as sel
 from ..operators.duplicates import split_preferred_copies
 from ..operators.labels import group_summary, label_violations
-from ..operators.ranking import seeded_rank, shuffled_rank
+from ..operators.ranking import seeded_rank
 from ..session import materialise
 from .audit import _unset, field, is_partial
 
@@ -137,23 +137,18 @@ def screen(records: DataFrame, profile: PilotProfile, background: Column) -> Dat
 
 
 def select_pilot(
-    screened: DataFrame, profile: PilotProfile, targets: tuple[int, int, int], seed: int,
-    exact_shuffle: bool = False,
+    screened: DataFrame, profile: PilotProfile, targets: tuple[int, int, int], seed: int
 ) -> tuple[DataFrame, DataFrame]:
     """(manifest rows, excluded rows). Fails if nothing is usable.
 
-    Ranks come from a seeded hash of (input, ordinal); ``exact_shuffle`` uses
-    the standard library's shuffle instead, for pools of pilot size.
+    Ranks come from a seeded hash of (input, ordinal), so pools of any size work alike.
     """
     if min(targets) < 0 or not sum(targets):
         raise ValueError("Targets must be nonnegative with nonzero total")
     passed = screened.filter(F.col("reason") == "").drop("reason")
     identity = F.concat_ws("#", "input_json", F.col("source_record_index").cast("string"))
     passed = passed.withColumn("row_id", identity)
-    ranked = (
-        shuffled_rank(passed, ["input_json", "source_record_index"], seed) if exact_shuffle
-        else seeded_rank(passed, ["row_id"], seed)
-    )
+    ranked = seeded_rank(passed, ["row_id"], seed)
     ranked = materialise(ranked.withColumn("_later", F.col("sample_group") == profile.groups[2]))
     kept, copies = split_preferred_copies(ranked, "sequence_sha256", ["_later", "rank"], "row_id")
     quotas = dict(zip(profile.groups, targets))

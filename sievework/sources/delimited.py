@@ -57,6 +57,7 @@ def read_csv(
         spark.read.option("header", True)
         .option("escape", '"')
         .option("multiLine", multi_line)
+        .option("enforceSchema", False)  # every part must have this header
         .schema(", ".join(f"`{n}` string" for n in [*names, BAD_LINE]))
         .option("columnNameOfCorruptRecord", BAD_LINE)
     )

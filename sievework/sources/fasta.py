@@ -32,14 +32,13 @@ def read_fasta(spark: SparkSession, path: str, first_token: bool = False) -> Dat
 
 
 def headless_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files that have text before their first header. Only a file's first entry keeps its ``>``."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", "_metadata.file_path")
-    marked = raw.groupBy("file_path").agg(
-        F.count_if(F.col("value").startswith(">")).alias("headers"),
-        F.count_if(F.regexp_replace("value", r"\s", "") != "").alias("entries"),
+    """Files that have text before their first header. Only a file's first piece keeps its ``>``; blank lines may precede it."""
+    raw = spark.read.option("lineSep", "\n>").text(path).select(
+        "value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")
     )
+    first = raw.groupBy("file_path").agg(F.min_by("value", F.struct("file_block_start", "at")).alias("value"))
     return c.violation(
-        marked.filter("headers = 0 and entries > 0"), "FASTA sequence before header", F.col("file_path"), ""
+        first.filter(~F.col("value").startswith(">") & (F.regexp_replace("value", r"\s", "") != "")), "FASTA sequence before header", F.col("file_path"), ""
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Elements and attributes of a scan result. ``_`` marks attributes.
 LOCATION = (
@@ -42,7 +43,12 @@ def read_proteins(spark: SparkSession, path: str, kind: str = "hmmer3") -> DataF
 
 
 def root_attributes(spark: SparkSession, path: str) -> dict[str, str]:
-    """Attributes of the root element, from the first lines of the file only."""
-    head = "\n".join(r["value"] for r in spark.read.text(path).limit(20).collect())
-    root = re.search(r"<(?![?!])[^>\s]+([^>]*)>", head)
+    """Attributes of the root element, however long the prologue before it.
+
+    The file is read in pieces that end with ``>``, so only the piece with the
+    first start tag reaches the driver, also if the file is one long line.
+    """
+    pieces = spark.read.option("lineSep", ">").text(path).withColumn("_at", F.monotonically_increasing_id())
+    starts = pieces.filter(F.col("value").rlike(r"(?s)^(?!\s*<!--).*<[A-Za-z_]")).orderBy("_at").limit(1).collect()
+    root = re.search(r"<[^<>\s]+([^<]*)$", starts[0]["value"]) if starts else None
     return dict(re.findall(r'([\w:.-]+)\s*=\s*"([^"]*)"', root.group(1))) if root else {}

@@ -68,7 +68,7 @@ def deposited_residues(lines: DataFrame, chain: str) -> DataFrame:
     fields = F.split(F.trim("line"), r"\s+")
     rows = lines.filter(F.col("line").startswith("SEQRES") & (fields[2] == chain)).select(
         "file", "n", fields[3].try_cast("int").alias("declared"),
-        F.posexplode(F.slice(fields, 5, 1000)).alias("i", "code"),
+        F.posexplode(F.slice(fields, F.lit(5), F.size(fields))).alias("i", "code"),
     )
     codes = rows.groupBy("file").agg(
         F.array_sort(F.collect_list(F.struct("n", "i", residue_letter(F.col("code")).alias("residue")))).alias("r"),

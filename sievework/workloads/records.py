@@ -11,7 +11,7 @@ from ..operators.digests import table_digest
 from ..operators.quality import counts_by
 from ..sinks.fasta import fasta_entry
 from ..sources.fasta import parse_entry
-from .tables import table, text_table
+from .tables import table
 
 
 def record_projection(spark, folder):
@@ -28,7 +28,7 @@ def record_projection(spark, folder):
 def _nested(spark, folder):
     """Documents as nested records: the first line represents, the others are members."""
     lines = F.split("text", "\n")
-    return text_table(spark, folder, "documents", "doc_id").select(
+    return table(spark, folder, "documents").select(
         "doc_id", "n_chars", lines[0].alias("representative"),
         F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))).alias("members"),
     )
@@ -77,7 +77,7 @@ def conversation_invariants(spark, folder):
 
 def length_hash_agreement(spark, folder):
     """Recorded lengths and digests against the texts; a few records were spoiled."""
-    docs = text_table(spark, folder, "documents", "doc_id").select(
+    docs = table(spark, folder, "documents").select(
         F.col("doc_id"), "text",
         F.when(F.col("doc_id") % 100 == 7, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n"),
         F.when(F.col("doc_id") % 150 == 7, F.lit("0")).otherwise(t.sha256(F.col("text"))).alias("sha"),
@@ -198,7 +198,7 @@ def hash_format(spark, folder):
 
 def artifact_states(spark, folder):
     """Expected digests of documents against the digests found for the labelled ones."""
-    docs = text_table(spark, folder, "documents", "doc_id").select(
+    docs = table(spark, folder, "documents").select(
         "doc_id", t.sha256(F.col("text")).alias("expected"), "text"
     )
     found = table(spark, folder, "labels").select("doc_id", F.col("toxic"))
@@ -229,7 +229,7 @@ def numeric_parse(spark, folder):
 
 def line_wrap(spark, folder):
     wrapped = t.wrap_lines(F.translate("text", "\n", " "))
-    return text_table(spark, folder, "documents", "doc_id").select(
+    return table(spark, folder, "documents").select(
         "doc_id", t.sha256(wrapped).alias("wrapped_sha256"),
         F.size(F.split(wrapped, "\n")).cast("bigint").alias("lines"),
     )
@@ -237,7 +237,7 @@ def line_wrap(spark, folder):
 
 def fasta_roundtrip(spark, folder):
     """Documents rendered as FASTA entries and parsed back."""
-    docs = text_table(spark, folder, "documents", "doc_id").select(
+    docs = table(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.regexp_replace("text", r"[\r\n>]", "").alias("s")
     )
     entry = F.substring(fasta_entry(F.col("id"), F.col("s")), F.lit(2), F.length("s") * 2 + 100)
@@ -267,7 +267,7 @@ def receipt_agreement(spark, folder):
 
 def content_digest(spark, folder):
     return table_digest(
-        text_table(spark, folder, "documents", "doc_id"), ["doc_id", "text", "lang", "source"]
+        table(spark, folder, "documents"), ["doc_id", "text", "lang", "source"]
     )
 
 

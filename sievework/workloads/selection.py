@@ -12,7 +12,7 @@ from ..operators.ranking import seeded_rank, tie_key
 from ..plans import audit
 from ..session import materialise
 from .curation import SQL_SEQUENCE
-from .tables import table, text_table
+from .tables import table
 
 PROFILE = audit.AuditProfile(
     id_prefix="DOC_", family="xyz", target_type="XyzA", watched_type="XyzJ", partial_word="the",
@@ -72,7 +72,7 @@ def near_duplicate_of_selected(spark, folder):
 
 def near_duplicate_bounds(spark, folder):
     """Documents whose length and characters come close to a chosen document's."""
-    docs = text_table(spark, folder, "documents", "doc_id").select("doc_id", "lang", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
     ids = docs.select("doc_id", "lang")
     chosen = _first_per_group(ids, "lang", "doc_id", 2).select("doc_id", "_tie").join(docs, "doc_id")
     pairs = sel.bounded_pairs(docs, chosen, "doc_id", "text", "_tie")
@@ -81,7 +81,7 @@ def near_duplicate_bounds(spark, folder):
 
 def _document_records(spark, folder):
     """Documents in the shape of nested source records."""
-    docs = text_table(spark, folder, "documents", "doc_id")
+    docs = table(spark, folder, "documents")
     n = F.col("doc_id")
     lines = F.split("text", "\n")
     text = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))

@@ -7,10 +7,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def text_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table with long texts. Few files would leave cores idle, so those are spread first."""
-    df = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df

@@ -110,10 +110,7 @@ def test_threshold_sensitivity(spark):
     assert (rows["other"]["matching"], rows["other"]["agreement"], rows["other"]["n_clusters"]) == (2, 0.666667, 3)
 
 
-def test_assignment_reaches_every_member_of_a_hot_cluster(spark, monkeypatch):
-    from sievework.operators import skew
-
-    monkeypatch.setattr(skew.attach_by_key, "__defaults__", ("left", None, 50))
+def test_assignment_reaches_every_member_of_a_hot_cluster(spark):
     members = spark.range(1000).select(
         "id", F.when(F.col("id") < 600, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 40)).alias("cluster")
     )
