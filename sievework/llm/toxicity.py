@@ -8,6 +8,7 @@ predictions, so later models see them as noisy as they will be in use.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -79,7 +80,7 @@ def _chosen(row: np.ndarray, bucket: np.ndarray, target: np.ndarray) -> np.ndarr
 def _fit(row: np.ndarray, bucket: np.ndarray, before: np.ndarray, target: np.ndarray) -> Stage:
     chosen = _chosen(row, bucket, target)
     n, width = len(target), len(chosen)
-    x = np.zeros((n, width + before.shape[1] + 1))
+    x = np.zeros((n, width + before.shape[1] + 1), dtype=np.float32)
     if width:
         at = np.searchsorted(chosen, bucket)
         at[at == width] = 0
@@ -93,9 +94,9 @@ def _fit(row: np.ndarray, bucket: np.ndarray, before: np.ndarray, target: np.nda
     penalty = np.full(len(beta), RIDGE)
     penalty[-1] = 1e-3
     for _ in range(25):
-        p = sigmoid(x @ beta)
-        slope = x.T @ (p - target) + penalty * beta
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        p = sigmoid((x @ beta.astype(np.float32)).astype(float))
+        slope = x.T @ (p - target).astype(np.float32) + penalty * beta
+        curve = (x * (p * (1 - p))[:, None].astype(np.float32)).T @ x + np.diag(penalty)
         step = np.linalg.solve(curve, slope)
         beta -= step
         if np.abs(step).max() < 1e-4:
@@ -148,7 +149,7 @@ def fit_chain(
     """Fit on at most about ``sample`` labelled documents; ``categories`` are columns over ``labels``.
 
     Labels with a NULL key or category are left out; of repeated keys the largest
-    label holds. The driver gets the hashed words of the sample and nothing else.
+    label holds. One task fits the bounded sample; the driver gets the weights only.
     """
     wanted = labels.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"), *[c.cast("int").alias(f"_c{i}") for i, c in enumerate(categories.values())]
@@ -170,13 +171,23 @@ def fit_chain(
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "_words"])
 
     schema = ", ".join(["_fold int", *[f"{c} int" for c in flags], "_words array<long>"])
-    got = rows.mapInArrow(hashed, schema).toArrow()
-    lists = [np.asarray(r, dtype=np.int64) for r in got.column("_words").to_numpy()]
-    answers = np.column_stack([got.column(c).to_numpy() for c in flags]) if len(lists) else np.zeros((0, len(flags)))
-    order = np.lexsort((np.array([r.sum() for r in lists], dtype=np.int64), [len(r) for r in lists]))
-    return Chain.fit(
-        list(categories), [lists[i] for i in order], answers[order], got.column("_fold").to_numpy()[order]
-    )
+    names = list(categories)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches([*batches], schema=pa.schema([
+            ("_fold", pa.int32()), *[(c, pa.int32()) for c in flags], ("_words", pa.list_(pa.int64()))
+        ]))
+        lists = [np.asarray(r, dtype=np.int64) for r in got.column("_words").to_numpy()]
+        answers = np.column_stack([got.column(c).to_numpy() for c in flags]) if lists else np.zeros((0, len(flags)))
+        sums = np.array([r.sum() for r in lists], dtype=np.int64)
+        order = np.lexsort((sums, np.array([len(r) for r in lists], dtype=np.int64)))
+        chain = Chain.fit(names, [lists[i] for i in order], answers[order], got.column("_fold").to_numpy()[order])
+        parts = [(s.buckets, s.weights, s.earlier, s.bias) for s in chain.stages]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(parts)], pa.binary())], names=["chain"])
+
+    hashed_rows = rows.mapInArrow(hashed, schema).repartition(1)
+    parts = pickle.loads(hashed_rows.mapInArrow(fit, "chain binary").first()["chain"])
+    return Chain(names, [Stage(*part) for part in parts])
 
 
 def score_documents(docs: DataFrame, chain: Chain, prefix: str = "p_", text: str = "text") -> DataFrame:
