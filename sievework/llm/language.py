@@ -14,7 +14,7 @@ from .words import buffers, sub_batches
 
 WIDTH = 4096
 #: Documents to fit on, at most (in expectation), shared evenly by the languages.
-SAMPLE = 4000
+SAMPLE = 2000
 CENTROIDS = 4
 REJECT_AT = 0.995  # quantile of the distances from fitted documents to their centroid
 UNKNOWN = "und"
