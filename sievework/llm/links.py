@@ -3,8 +3,10 @@
 A pair is a candidate if both stand in one bucket. First every set of a bucket
 is compared with one pivot, and the links found give groups. Only pairs whose
 ends are then in different groups are compared further, in blocks and behind a
-bitmap bound that never rejects a link. So a large group of copies costs one
-comparison per copy and bucket, and yet no candidate link between groups is lost.
+bitmap bound that never rejects a link: first the nearest pair of each two groups,
+then every pair whose ends are in different groups even after that. So a large
+group of copies costs one comparison per copy and bucket, and yet no candidate link
+between groups is lost.
 """
 
 from __future__ import annotations
@@ -94,56 +96,108 @@ def linked_groups(scratch: Scratch, buckets: DataFrame, sets: DataFrame, percent
     label = F.coalesce("root", "node")
     labelled = scratch.keep(starred.join(roots, "node", "left").select("sig", "node", "pivot", label.alias("root")))
     scratch.drop(starred)
-    mixed = labelled.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("sig")
-    smallest = labelled.join(mixed, "sig").groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, HEADS).alias("heads"))
-    open_rows = labelled.join(mixed, "sig").join(with_bitmaps(sets).join(smallest, "node"), "node")
-    blocks = by_block(in_block_pairs(open_rows, "sig", "node", BLOCK), "sig")
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for group in groups_of(batches, ["sig", "_i", "_j"]):
-            node, pivot, root, n, own = (group.column(c).to_numpy() for c in ("node", "pivot", "root", "n", "_own"))
-            i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            sig = group.column("sig")[0].as_py()
-            heads = np.full((len(node), HEADS), sig)
-            lists = group.column("heads")
-            sizes = np.diff(lists.offsets.to_numpy())
-            heads[np.arange(HEADS) < sizes[:, None]] = lists.flatten().to_numpy()
-            bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
-            for a in left:
-                b = right[(root[right] != root[a])]
-                if i == j:
-                    b = b[node[b] > node[a]]
-                b = b[(pivot[a] != node[a]) & (pivot[b] != node[b])]
-                small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-                b = b[100 * small >= percent * large]
-                if not len(b):
-                    continue
-                differ = np.bitwise_count(bits[b] ^ bits[a]).sum(axis=1)
-                total = n[a].astype(np.int64) + n[b]
-                b = b[(100 + percent) * differ.astype(np.int64) <= (100 - percent) * total]
-                earlier = heads[a][heads[a] < sig]
-                if len(b) and len(earlier):
-                    b = b[~np.isin(heads[b], earlier).any(axis=1)]
-                if len(b):
-                    found.append((np.minimum(node[a], node[b]), np.maximum(node[a], node[b])))
-            if len(found) >= 1024:
-                yield _merged(found)
-                found = []
-        if found:
-            yield _merged(found)
-
-    more = scratch.keep(verified(blocks.mapInArrow(across, "a long, b long").distinct(), sets, percent))
-    scratch.drop(labelled)
-    result = scratch.keep(components(scratch, stars.union(more)))
-    scratch.drop(stars, roots, more)
+    # the nearest pair of each two groups first: what it merges needs no further pairs
+    near = _crossing(labelled, sets, percent, nearest=True)
+    chosen = near.groupBy("ra", "rb").agg(F.min(F.struct("apart", "a", "b")).alias("pair")).select("pair.a", "pair.b")
+    merging = scratch.keep(verified(chosen, sets, percent))
+    merged = scratch.keep(components(scratch, stars.union(merging)))
+    again = labelled.drop("root").join(merged, "node", "left").select("sig", "node", "pivot", label.alias("root"))
+    relabelled = scratch.keep(again)
+    scratch.drop(labelled, roots)
+    pairs = _crossing(relabelled, sets, percent, nearest=False).select("a", "b").distinct()
+    more = scratch.keep(verified(pairs, sets, percent))
+    scratch.drop(relabelled)
+    result = scratch.keep(components(scratch, _tree(merged).union(more)))
+    scratch.drop(stars, merging, merged, more)
     return result
 
 
-def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    pairs = np.unique(np.column_stack([np.concatenate(x) for x in zip(*found)]), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+def _tree(groups: DataFrame) -> DataFrame:
+    """Edges from each node of ``(node, root)`` to its root: the same groups with the fewest edges."""
+    return groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _crossing(labelled: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs ``(a, b, ra, rb, apart)`` of one bucket with different roots that may be links by size and bitmap.
+
+    ``ra`` and ``rb`` are the roots, ``apart`` is the share of bits that differ. With
+    ``nearest``, each block gives one pair for two roots. Without it, a pair comes
+    from the smallest bucket that is among the ``HEADS`` smallest of both its ends.
+    """
+    mixed = labelled.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("sig")
+    rows = labelled.join(mixed, "sig")
+    known = with_bitmaps(sets)
+    if not nearest:
+        smallest = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, HEADS).alias("heads"))
+        known = known.join(smallest, "node")
+    blocks = by_block(in_block_pairs(rows.join(known, "node"), "sig", "node", BLOCK), "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for group in groups_of(batches, ["sig", "_i", "_j"]):
+            found = _block_pairs(group, percent, nearest)
+            if len(found[0]):
+                held.append(_unique(found, nearest))
+            if len(held) >= 64:
+                yield _batch(_unique(_stacked(held), nearest))
+                held = []
+        if held:
+            yield _batch(_unique(_stacked(held), nearest))
+
+    return blocks.mapInArrow(run, "a long, b long, ra long, rb long, apart double")
+
+
+def _block_pairs(group: pa.RecordBatch, percent: int, nearest: bool) -> tuple[np.ndarray, ...]:
+    node, pivot, root, n, own = (group.column(c).to_numpy() for c in ("node", "pivot", "root", "n", "_own"))
+    i, j, sig = (group.column(c)[0].as_py() for c in ("_i", "_j", "sig"))
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+    if not nearest:
+        lists = group.column("heads")
+        heads = np.full((len(node), HEADS), sig)
+        heads[np.arange(HEADS) < np.diff(lists.offsets.to_numpy())[:, None]] = lists.flatten().to_numpy()
+    parts = []
+    for a in left[pivot[left] != node[left]]:
+        b = right[(root[right] != root[a]) & (pivot[right] != node[right])]
+        if i == j:
+            b = b[node[b] > node[a]]
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        b = b[100 * small.astype(np.int64) >= percent * large.astype(np.int64)]
+        if not len(b):
+            continue
+        differ = np.bitwise_count(bits[b] ^ bits[a]).sum(axis=1).astype(np.int64)
+        total = n[a].astype(np.int64) + n[b]
+        open_ = (100 + percent) * differ <= (100 - percent) * total
+        b, apart = b[open_], (differ / total)[open_]
+        if not nearest and len(b):
+            earlier = heads[a][heads[a] < sig]
+            alone = ~np.isin(heads[b], earlier).any(axis=1)
+            b, apart = b[alone], apart[alone]
+        if len(b):
+            swap = node[b] < node[a]
+            parts.append((
+                np.where(swap, node[b], node[a]), np.where(swap, node[a], node[b]),
+                np.minimum(root[a], root[b]), np.maximum(root[a], root[b]), apart,
+            ))
+    return _stacked(parts) if parts else (*[np.zeros(0, np.int64)] * 4, np.zeros(0))
+
+
+def _stacked(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(column) for column in zip(*parts))
+
+
+def _unique(found: tuple[np.ndarray, ...], nearest: bool) -> tuple[np.ndarray, ...]:
+    """Each pair once or, with ``nearest``, the nearest pair of each two roots."""
+    a, b, ra, rb, apart = found
+    keys = (ra, rb) if nearest else (a, b)
+    order = np.lexsort((b, a, apart, rb, ra) if nearest else (b, a))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (keys[0][order][1:] != keys[0][order][:-1]) | (keys[1][order][1:] != keys[1][order][:-1])
+    return tuple(column[order[first]] for column in found)
+
+
+def _batch(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "ra", "rb", "apart"])
 
 
 def text_key(column: str) -> Column:
