@@ -120,22 +120,20 @@ def _tree(groups: DataFrame) -> DataFrame:
 def _crossing(labelled: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs ``(a, b, ra, rb, apart)`` of one bucket with different roots that may be links by size and bitmap.
 
-    ``ra`` and ``rb`` are the roots, ``apart`` is the share of bits that differ. With
-    ``nearest``, each block gives one pair for two roots. Without it, a pair comes
-    from the smallest bucket that is among the ``HEADS`` smallest of both its ends.
+    ``ra`` and ``rb`` are the roots, ``apart`` is the share of bits that differ. A pair
+    comes from the smallest bucket that is among the ``HEADS`` smallest of both its
+    ends. With ``nearest``, each block gives only one pair for two roots.
     """
     mixed = labelled.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("sig")
     rows = labelled.join(mixed, "sig")
-    known = with_bitmaps(sets)
-    if not nearest:
-        smallest = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, HEADS).alias("heads"))
-        known = known.join(smallest, "node")
+    smallest = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, HEADS).alias("heads"))
+    known = with_bitmaps(sets).join(smallest, "node")
     blocks = by_block(in_block_pairs(rows.join(known, "node"), "sig", "node", BLOCK), "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for group in groups_of(batches, ["sig", "_i", "_j"]):
-            found = _block_pairs(group, percent, nearest)
+            found = _block_pairs(group, percent)
             if len(found[0]):
                 held.append(_unique(found, nearest))
             if len(held) >= 64:
@@ -147,15 +145,14 @@ def _crossing(labelled: DataFrame, sets: DataFrame, percent: int, nearest: bool)
     return blocks.mapInArrow(run, "a long, b long, ra long, rb long, apart double")
 
 
-def _block_pairs(group: pa.RecordBatch, percent: int, nearest: bool) -> tuple[np.ndarray, ...]:
+def _block_pairs(group: pa.RecordBatch, percent: int) -> tuple[np.ndarray, ...]:
     node, pivot, root, n, own = (group.column(c).to_numpy() for c in ("node", "pivot", "root", "n", "_own"))
     i, j, sig = (group.column(c)[0].as_py() for c in ("_i", "_j", "sig"))
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
-    if not nearest:
-        lists = group.column("heads")
-        heads = np.full((len(node), HEADS), sig)
-        heads[np.arange(HEADS) < np.diff(lists.offsets.to_numpy())[:, None]] = lists.flatten().to_numpy()
+    lists = group.column("heads")
+    heads = np.full((len(node), HEADS), sig)
+    heads[np.arange(HEADS) < np.diff(lists.offsets.to_numpy())[:, None]] = lists.flatten().to_numpy()
     parts = []
     for a in left[pivot[left] != node[left]]:
         b = right[(root[right] != root[a]) & (pivot[right] != node[right])]
@@ -169,7 +166,7 @@ def _block_pairs(group: pa.RecordBatch, percent: int, nearest: bool) -> tuple[np
         total = n[a].astype(np.int64) + n[b]
         open_ = (100 + percent) * differ <= (100 - percent) * total
         b, apart = b[open_], (differ / total)[open_]
-        if not nearest and len(b):
+        if len(b):
             earlier = heads[a][heads[a] < sig]
             alone = ~np.isin(heads[b], earlier).any(axis=1)
             b, apart = b[alone], apart[alone]
