@@ -68,12 +68,12 @@ class AuditProfile:
 
 
 def parse_records(raw: DataFrame, record: str = "record") -> DataFrame:
-    """Parse (ordinal, JSON text) rows; annotations become maps, so open fields survive."""
+    """Parse (ordinal, JSON text) rows; annotations become maps, so open fields survive. Other columns stay."""
     return raw.select(
-        "ordinal",
+        *[name for name in raw.columns if name != record],
         F.json_object_keys(record).alias("present"),
         F.from_json(record, RECORD_SCHEMA).alias("r"),
-    ).select("ordinal", "present", "r.*")
+    ).select("*", "r.*").drop("r")
 
 
 def _count(stats: Column, name: str) -> Column:
@@ -121,19 +121,26 @@ def is_partial(annotation: Column, word: str) -> Column:
     return t.has_word(text, word)
 
 
+def _identity(profile: AuditProfile) -> list[Column]:
+    return [
+        t.ordinal_id(profile.id_prefix, F.col("ordinal")).alias("internal_id"),
+        t.strip_text(F.coalesce("unique_sequence_id", F.lit(NULL_WORD))).alias("sequence_id"),
+    ]
+
+
 def audit_records(records: DataFrame, profile: AuditProfile) -> DataFrame:
     """One typed row per record with every flag. ``records`` comes from ``parse_records``.
 
-    Flags are row-local. Two narrow joins follow: repeated digests and repeated
-    identifiers, both after aggregation. The outlier limits are scalars.
+    ``ordinal`` is unique. Flags are row-local, but for repeated digests and
+    identifiers: these are found on (ordinal, digest, identifier) alone, and the
+    rows they name are attached in one join. The outlier limits are scalars.
     """
     p = profile
     rep, members = F.col("representative_annotation"), F.col("redundant_members_details")
     raw_types = lambda a: F.try_element_at(a, F.lit(p.types_field))
     flagged = records.select(
         "ordinal",
-        t.ordinal_id(p.id_prefix, F.col("ordinal")).alias("internal_id"),
-        t.strip_text(F.coalesce("unique_sequence_id", F.lit(NULL_WORD))).alias("sequence_id"),
+        *_identity(p),
         t.normalise_sequence(F.coalesce("sequence", F.lit(NULL_WORD))).alias("sequence"),
         *[
             t.strip_text(field(rep, source)).alias(name)
@@ -152,7 +159,7 @@ def audit_records(records: DataFrame, profile: AuditProfile) -> DataFrame:
             "source_missing"
         ),
         _unset(rep, "organism").alias("organism_missing"),
-        members.alias("members"),
+        F.size(members).alias("member_rows"),
     ).withColumns(
         {
             "sequence_length": F.length("sequence"),
@@ -170,10 +177,14 @@ def audit_records(records: DataFrame, profile: AuditProfile) -> DataFrame:
     first_id = F.when(F.col("sequence_id") != "", F.col("sequence_id")).otherwise(
         F.concat(F.lit("record_"), F.col("ordinal"))
     )
-    marked = mark_exact_duplicates(flagged, "sequence_sha256", "ordinal", first_id)
-    marked = mark_shared_ids(
-        marked, ["sequence_id"], F.col("ordinal"), "is_duplicate_id", counted=flagged
-    )
+    narrow = flagged.select("ordinal", "sequence_id", "sequence_sha256")
+    found = mark_shared_ids(
+        mark_exact_duplicates(narrow, "sequence_sha256", "ordinal", first_id),
+        ["sequence_id"], F.col("ordinal"), "is_duplicate_id", counted=narrow,
+    ).filter(F.col("exact_duplicate_of").isNotNull() | F.col("is_duplicate_id"))
+    marked = flagged.join(
+        found.select("ordinal", "exact_duplicate_of", "is_duplicate_id"), "ordinal", "left"
+    ).withColumn("is_duplicate_id", F.coalesce("is_duplicate_id", F.lit(False)))
     copy = F.col("exact_duplicate_of").isNotNull()
     no_id, empty = F.col("sequence_id") == "", F.col("sequence") == ""
     odd = F.col("nonstandard_residues") != ""
@@ -227,12 +238,10 @@ def metadata_table(audited: DataFrame, profile: AuditProfile) -> DataFrame:
     return audited.select(*[cell(name).alias(name) for name in profile.metadata_fields()])
 
 
-def member_table(audited: DataFrame, profile: AuditProfile) -> DataFrame:
-    """One row per redundant member. Exploding is row-local and needs no shuffle."""
+def member_table(records: DataFrame, profile: AuditProfile) -> DataFrame:
+    """One row per redundant member, straight from the parsed records: row-local, without a shuffle."""
     m = F.col("m")
-    return audited.select(
-        "internal_id", "sequence_id", F.explode("members").alias("m")
-    ).select(
+    return records.select(*_identity(profile), F.explode("redundant_members_details").alias("m")).select(
         F.col("internal_id").alias("representative_internal_id"),
         F.col("sequence_id").alias("representative_sequence_id"),
         t.strip_text(field(m, "id")).alias("member_id"),
@@ -245,17 +254,21 @@ def member_table(audited: DataFrame, profile: AuditProfile) -> DataFrame:
 
 
 def audit_summary(audited: DataFrame, profile: AuditProfile) -> DataFrame:
-    """Every count of the audit in one pass over the typed rows; one row."""
+    """Every count of the audit in one pass over the typed rows; one row.
+
+    Only ``sequence_id`` needs a distinct count: internal identifiers follow from the
+    unique ordinals, and every digest has one row that is no copy.
+    """
     flag = lambda name: F.count_if(F.col(name)).alias(name)
     eligible = F.col("sequence_qc_eligible")
     length = F.when(eligible, F.col("sequence_length"))
     return audited.agg(
         F.count(F.lit(1)).alias("candidate_records"),
         F.sum("member_count").alias("total_original_sequence_records"),
-        F.sum(F.size("members")).alias("redundant_member_records"),
+        F.sum("member_rows").alias("redundant_member_records"),
         F.count_distinct("sequence_id").alias("unique_sequence_ids"),
-        F.count_distinct("internal_id").alias("unique_internal_ids"),
-        F.count_distinct("sequence_sha256").alias("unique_sequence_hashes"),
+        F.count("internal_id").alias("unique_internal_ids"),
+        F.count_if(~F.col("is_exact_duplicate")).alias("unique_sequence_hashes"),
         flag("sequence_qc_eligible"),
         F.count_if(F.col("analysis_cohort") == q.PRIMARY).alias("primary_cohort"),
         *[

@@ -62,18 +62,20 @@ def _capital_flags(df: DataFrame) -> DataFrame:
 def run_audit(
     spark: SparkSession, archive: str, member: str, out: str, profile: audit.AuditProfile, version_prefix: str
 ) -> dict[str, Any]:
-    """Archive to metadata, members, FASTA, summary and manifest."""
+    """One archive, or several by a pattern, to metadata, members, FASTA, summary and manifest."""
     with guarded_folder(out) as folder:
-        records = materialise(audit.parse_records(archives.read_zip_records(spark, archive, member)))
+        parsed = materialise(audit.parse_records(archives.read_zip_records(spark, archive, member)))
+        records = archives.continuous_ordinals(parsed)
+        c.enforce(c.unique_key(records, ["ordinal"], "record number not unique"))
         c.enforce(audit.record_violations(records))
         audited = materialise(audit.audit_records(records, profile))
         full = audit.with_outliers(audited, profile)
-        metadata, members = audit.metadata_table(full, profile), audit.member_table(audited, profile)
+        metadata, members = audit.metadata_table(full, profile), audit.member_table(records, profile)
         eligible = audited.filter("sequence_qc_eligible").select("internal_id", "sequence")
         write_csv(metadata, f"{folder}/metadata", profile.metadata_fields(), ["internal_id"])
         write_csv(members, f"{folder}/members", profile.member_fields(), ["representative_internal_id"])
         fasta_sink.write_fasta(eligible, f"{folder}/sequences_for_clustering", "internal_id", "sequence")
-        source = archives.read_zip_provenance(spark, archive, member).first().asDict()
+        source = archives.source_summary(archives.read_zip_provenance(spark, archive, member))
         counts = audit.audit_summary(full, profile).first().asDict()
         cohorts = {n: counts.pop(f"cohort_{n}") for n in COHORT_LABELS}
         summary = {
@@ -283,8 +285,6 @@ def run_parse(
                     raise
                 error, cause = "parse_failed", str(problem)
                 (folder / "parse_error.log").write_text(cause, encoding="utf-8")
-                error, cause = "parse_failed", str(problem)
-                (folder / "parse_error.log").write_text(cause, encoding="utf-8")
         if error:
             labelled = pilot.unparsed_records(manifest, error)
         else:

@@ -14,8 +14,10 @@ import json
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CHUNK = 1 << 20
@@ -174,6 +176,32 @@ def read_zip_provenance(spark: SparkSession, path: str, member: str) -> DataFram
     )
 
 
+def continuous_ordinals(rows: DataFrame) -> DataFrame:
+    """Ordinals that run on from one ``input`` to the next, by name, and so are unique over all files.
+
+    Starts are a running sum over one row per file. The reader has listed these
+    files on the driver, so the starts are small enough to broadcast too.
+    """
+    files = rows.groupBy("input").agg(F.max("ordinal").alias("_last"))
+    earlier = Window.orderBy("input").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("input", F.coalesce(F.sum("_last").over(earlier), F.lit(0)).alias("_start"))
+    placed = rows.join(F.broadcast(starts), "input")
+    return placed.withColumn("ordinal", F.col("ordinal") + F.col("_start")).drop("_start")
+
+
+def source_summary(provenance: DataFrame) -> dict[str, Any]:
+    """The provenance of one archive, or of several as digests over their digests and a list."""
+    rows = [r.asDict() for r in provenance.orderBy(*provenance.columns).collect()]
+    if len(rows) == 1:
+        return rows[0]
+    together = {
+        name: hashlib.sha256("\n".join(r[name] for r in rows).encode()).hexdigest()
+        for name in ("source_zip_sha256", "source_member_sha256")
+    }
+    size = sum(r["source_member_size"] for r in rows)
+    return {**together, "source_member": rows[0]["source_member"], "source_member_size": size, "archives": rows}
+
+
 class _PlainReader(DataSourceReader):
     def __init__(self, options):
         self.paths = sorted(glob.glob(options["path"]))

@@ -127,7 +127,7 @@ def document_audit(spark, folder):
 
 
 def document_audit_members(spark, folder):
-    return audit.member_table(_audited(spark, folder), PROFILE).select(
+    return audit.member_table(_document_records(spark, folder), PROFILE).select(
         "representative_internal_id", "representative_sequence_id", "source_file", "xyz_types",
         "is_partial", t.sha256(F.col("description")).alias("description_sha256"),
     )

@@ -103,6 +103,19 @@ def test_broken_records(spark, tmp_path, change, message):
         audited(spark, tmp_path, bad)
 
 
+def test_several_archives_are_one_table(spark, tmp_path):
+    for name in ("a.zip", "b.zip"):
+        zipped(tmp_path, [record(f"{name}1", "ACDEFG"), record(f"{name}2", "ACDEF" if name == "a.zip" else "ACDEFA")], name)
+    summary = jobs.run_audit(spark, f"{tmp_path}/?.zip", "data/rows.json", str(tmp_path / "out"), PROFILE, "recs")
+    rows = delimited.read_csv(spark, f"{tmp_path}/out/metadata").orderBy("internal_id").collect()
+    assert [r["internal_id"] for r in rows] == [f"REC_{i:06d}" for i in range(1, 5)]
+    assert [r["exact_duplicate_of"] for r in rows] == ["", "", "a.zip1", ""]
+    assert (summary["unique_internal_ids"], summary["unique_sequence_hashes"], summary["unique_sequence_ids"]) == (4, 3, 4)
+    assert [a["source_zip"] for a in summary["source"]["archives"]] == ["a.zip", "b.zip"]
+    members = delimited.read_csv(spark, f"{tmp_path}/out/members")
+    assert members.select("representative_internal_id").distinct().count() == 4
+
+
 def test_audit_split_and_scan(spark, tmp_path):
     letters = "ACDEFGHIKL"
     records = [record(f"s{i:03d}", "A" + letters[i % 10] + letters[i // 10] + "CDE") for i in range(60)]

@@ -4,8 +4,11 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.operators import constraints as c
+from sievework.operators import receipts as rc
+from sievework.plans import release
 from sievework.sinks import fasta as fasta_sink
 from sievework.sinks import tables as sinks
 from sievework.sinks.runs import guarded_folder, receipt
@@ -184,7 +187,7 @@ def test_xml_keeps_empty_and_missing_apart(spark, tmp_path):
     assert matches.root_attributes(spark, str(path))["interproscan-version"] == "5.1-1.0"
 
 
-def test_control_documents(tmp_path):
+def test_control_documents(spark, tmp_path):
     good = {"signature_database": "D", "signature_accession": "S1", "max_sequence_evalue": 1e-5,
             "max_domain_evalue": 1e-5, "min_hit_length": 30, "min_hmm_coverage": 0.5}
     path = tmp_path / "r.json"
@@ -205,10 +208,11 @@ def test_control_documents(tmp_path):
         with pytest.raises(ValueError):
             documents.profile_header(text, "PX1")
     ok = {"url": "u", "sha256": "d", "retrieved_utc": "t"}
-    assert documents.check_source_receipt([ok], "d", "u") == ok
-    for bad in ([ok, ok], {**ok, "sha256": "e"}, {**ok, "retrieved_utc": ""}, "x"):
-        with pytest.raises(ValueError):
-            documents.check_source_receipt(bad, "d", "u")
+    receipts = [ok, [ok], {"source_url": "u", **ok}, [ok, ok], {**ok, "sha256": "e"}, {**ok, "retrieved_utc": ""}, {**ok, "url": "v"}, "x", []]
+    rows = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(receipts)], "n int, body string")
+    rows = rows.select("n", F.parse_json("body").alias("receipt"))
+    found = rc.error_rows(rows, "n", release.source_receipt_errors("d", "u")).groupBy("n").count().collect()
+    assert dict(map(tuple, found)) == {3: 1, 4: 1, 5: 1, 6: 1, 7: 3, 8: 3}
     assert documents.load_receipt(tmp_path / "none")[1][0].startswith("missing receipt")
     path.write_text("{")
     assert documents.load_receipt(path)[1][0].startswith("unreadable receipt")
