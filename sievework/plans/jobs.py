@@ -208,10 +208,8 @@ def run_select(
     with guarded_folder(out) as folder:
         screened, sources = None, []
         for number, spec in enumerate(inputs):
-            records = pilot.parse_records(archives.read_record_array(spark, spec)).withColumn(
-                "input", F.lit(spec)
-            )
-            records = materialise(records)
+            parsed = materialise(pilot.parse_records(archives.read_record_array(spark, spec)))
+            records = archives.continuous_ordinals(parsed).withColumn("input", F.lit(spec))
             c.enforce(pilot.schema_violations(records))
             names = pilot.field_names(records).orderBy("level", "name").collect()
             part = pilot.screen(records, profile, F.lit(number > 0))
