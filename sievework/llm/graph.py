@@ -2,9 +2,11 @@
 
 Each vector keeps a short list of its nearest known neighbours. The lists start
 from neighbours in random hyperplane cells and improve by joining the members
-of every list with each other. Lists that are full of near-duplicates are
-saturated: they are enlarged to all of their component, which is compared
-block by block. A bounded audit against all vectors tells when to stop.
+of every list with each other. Every met pair that links two components joins
+them for good, whatever the lists keep. A vector lists its nearest neighbours
+inside and outside its component separately, so near-duplicates never crowd out
+the rest; components are compared block by block in the end. A bounded audit
+against all vectors tells when to stop.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from .ann import usable_vectors
 from .base import Scratch, components
 from .groups import by_block, groups_of, in_block_pairs, numbers
 
-LIST = 12  # neighbours kept
+LIST = 12  # neighbours kept in the component of a vector, and as many outside
 REVERSE = 12  # vectors that list a vector and join in, at most
 TREES = 3  # random cell orders to start from
 WINDOW = 6  # following vectors of the order that each meets
@@ -31,6 +33,7 @@ CHANGED = 0.02  # share of list entries below which the lists have settled
 AUDIT = 512  # vectors of the audit, at most
 RECALL = 0.995
 BLOCK = 512
+UNSURE = 1e-4  # similarities of rounded vectors this near to the threshold are computed again
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -82,31 +85,49 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
 
 
-def _best(pairs: DataFrame, keep: int) -> DataFrame:
-    """The ``keep`` nearest of each ``a``."""
-    nearest = Window.partitionBy("a").orderBy(F.desc("s"), "b")
+def _placed(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` with the roots ``ra`` and ``rb`` of their components."""
+    for side in ("a", "b"):
+        of = roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+        pairs = pairs.join(of, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    return pairs
+
+
+def _best(pairs: DataFrame, roots: DataFrame, keep: int) -> DataFrame:
+    """``(a, b, s, own)``: the ``keep`` nearest of each ``a`` in its component (``own``) and outside."""
+    nearest = Window.partitionBy("a", "own").orderBy(F.desc("s"), "b")
     distinct = pairs.groupBy("a", "b").agg(F.max("s").alias("s"))
-    return distinct.withColumn("_rank", F.row_number().over(nearest)).filter(F.col("_rank") <= keep).drop("_rank")
+    sided = _placed(distinct, roots).select("a", "b", "s", (F.col("ra") == F.col("rb")).alias("own"))
+    return sided.withColumn("_rank", F.row_number().over(nearest)).filter(F.col("_rank") <= keep).drop("_rank")
 
 
-def _joined(lists: DataFrame, vectors: DataFrame, turn: int) -> DataFrame:
-    """Pairs of vectors that stand in one list, where they improve the list of one of them."""
+def _joined(lists: DataFrame, vectors: DataFrame, roots: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """Pairs of vectors that stand in one list, where they improve a list of one of them or may link two components."""
     mixed = Window.partitionBy("b").orderBy(F.xxhash64("a", "b", F.lit(turn)))
     back = lists.withColumn("_rank", F.row_number().over(mixed)).filter(F.col("_rank") <= REVERSE)
     members = lists.select("a", "b").union(back.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    worst = lists.groupBy(F.col("a").alias("b")).agg(F.when(F.count("*") >= LIST, F.min("s")).otherwise(-2.0).alias("worst"))
-    rows = members.join(worst, "b", "left").join(vectors.withColumnRenamed("node", "b"), "b")
-    rows = rows.select("a", "b", "dim", F.coalesce("worst", F.lit(-2.0)).alias("worst"), "v")
+    full = [
+        F.when(F.count(F.when(side, 1)) >= LIST, F.min(F.when(side, F.col("s")))).otherwise(-2.0).alias(name)
+        for side, name in ((F.col("own"), "inner"), (~F.col("own"), "outer"))
+    ]
+    worst = lists.groupBy(F.col("a").alias("b")).agg(*full)
+    of = roots.select(F.col("node").alias("b"), "root")
+    known = vectors.withColumnRenamed("node", "b").join(worst, "b", "left").join(of, "b", "left").select(
+        "b", "dim", F.coalesce("inner", F.lit(-2.0)).alias("inner"), F.coalesce("outer", F.lit(-2.0)).alias("outer"),
+        F.coalesce("root", "b").alias("root"), "v",
+    )
+    rows = members.join(known, "b")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for group in groups_of(batches, ["a", "dim"]):
             if group.num_rows > 1:
-                node, worst = group.column("b").to_numpy(), group.column("worst").to_numpy()
+                node, inner, outer, root = (group.column(c).to_numpy() for c in ("b", "inner", "outer", "root"))
                 x = _unit(numbers(group.column("v"), group.column("dim")[0].as_py()).astype(np.float64))
                 s = x @ x.T
-                better = np.triu(s > np.minimum(worst[:, None], worst[None, :]), 1)
-                i, j = np.nonzero(better)
+                own = root[:, None] == root[None, :]
+                least = np.where(own, np.minimum(inner[:, None], inner[None, :]), np.minimum(outer[:, None], outer[None, :]))
+                i, j = np.nonzero(np.triu((s > least) | (~own & (s >= threshold - UNSURE)), 1))
                 out.append((node[i], node[j], s[i, j]))
             if len(out) >= 512:
                 yield _pairs(out)
@@ -199,17 +220,19 @@ def near_duplicates(
     for seed in range(TREES):
         part = _cells(light, bits, seed)
         pairs = part if pairs is None else pairs.union(part)
-    lists = scratch.keep(_best(_both_ways(pairs), LIST))
-    roots, recall = None, 1.0
+    none = scratch.spark.createDataFrame([], "node long, root long")
+    met = scratch.keep(pairs)
+    roots = _merged(scratch, met, none, nodes, threshold)
+    lists = scratch.keep(_best(_both_ways(met), roots, LIST))
+    scratch.drop(met)
+    recall = 1.0
     for turn in range(ROUNDS):
-        fresh = _joined(lists, light, turn).union(_cells(light, bits, 1000 + turn))
-        better = scratch.keep(_best(lists.union(_both_ways(fresh)), LIST))
+        fresh = scratch.keep(_joined(lists, light, roots, threshold, turn).union(_cells(light, bits, 1000 + turn)))
+        grown = _merged(scratch, fresh, roots, nodes, threshold)
+        better = scratch.keep(_best(lists.select("a", "b", "s").union(_both_ways(fresh)), grown, LIST))
         changed = better.join(lists, ["a", "b"], "left_anti").count()
-        scratch.drop(lists)
-        lists = better
-        if roots is not None:
-            scratch.drop(roots)
-        roots = scratch.keep(components(scratch, _verified(scratch, lists, nodes, threshold)))
+        scratch.drop(fresh, lists, roots)
+        lists, roots = better, grown
         kept = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         met = truth.join(kept, "a").join(kept.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b").filter("ra = rb")
         recall = met.count() / asked if asked else 1.0
@@ -238,9 +261,21 @@ def _without(every: DataFrame, usable: DataFrame) -> DataFrame:
     return every.exceptAll(usable)
 
 
-def _verified(scratch: Scratch, lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """List entries that reach the threshold in double precision."""
-    near = lists.filter(F.col("s") >= threshold - 1e-4).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _merged(scratch: Scratch, met: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``(node, root)`` after all links among the pairs ``met`` have joined the components of ``roots``."""
+    near = met.filter(F.col("s") >= threshold - UNSURE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s")
+    across = scratch.keep(
+        _placed(near.groupBy("a", "b").agg(F.max("s").alias("s")), roots).filter("ra <> rb").select("a", "b", "s", "ra", "rb")
+    )
+    sure = F.col("s") >= threshold + UNSURE
+    linked = across.filter(sure).select("ra", "rb").union(_verified(across.filter(~sure), nodes, threshold))
+    found = scratch.keep(components(scratch, linked.toDF("a", "b").union(roots.toDF("a", "b"))))
+    scratch.drop(across)
+    return found
+
+
+def _verified(near: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """``(ra, rb)`` of the pairs that reach the threshold in double precision."""
     full = nodes.select("node", "w")
     sides = near.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
 
@@ -250,6 +285,6 @@ def _verified(scratch: Scratch, lists: DataFrame, nodes: DataFrame, threshold: f
             for row, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
                 p, q = (_unit(z.values.to_numpy()[None]) for z in (x, y))
                 keep[row] = float((p @ q.T)[0, 0]) >= threshold
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["ra", "rb"]).filter(pa.array(keep))
 
-    return sides.mapInArrow(exact, "a long, b long")
+    return sides.mapInArrow(exact, "ra long, rb long")

@@ -71,3 +71,35 @@ def test_no_vectors(spark):
     one = spark.createDataFrame([(0, [1.0], 1, "")], SCHEMA)
     assert ann.search(Scratch(spark), one, lambda i: i == 0).count() == 0
     assert [tuple(r) for r in graph.near_duplicates(Scratch(spark), one)[0].collect()] == [(0, 0, 0)]
+
+
+def grown_links(x, threshold=0.9):
+    """Links of each row and the smallest row of its component, by brute force."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= threshold
+    np.fill_diagonal(links, False)
+    label = np.arange(len(x))
+    while True:
+        least = np.minimum(label, np.where(links, label[None, :], len(x)).min(axis=1))
+        if (least == label).all():
+            return links.sum(axis=1), label
+        label = least
+
+
+def checked_links(spark, x):
+    rows = [(i, [float(v) for v in row], 1, "") for i, row in enumerate(x)]
+    found, recall = graph.near_duplicates(Scratch(spark), spark.createDataFrame(rows, SCHEMA), 0.9)
+    n_links, component = grown_links(x)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found.collect()) == [
+        (i, int(n_links[i]), int(component[i])) for i in range(len(x))
+    ]
+    assert recall >= graph.RECALL
+
+
+def test_bridged_dense_groups(spark):
+    """Links between two dense groups count although each vector has more nearer ones in its own."""
+    rng = np.random.default_rng(7)
+    a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    centres = [a, 0.92 * a + math.sqrt(1 - 0.92**2) * b]
+    x = np.vstack([rng.standard_normal((300, 64)), *[c + 0.002 * rng.standard_normal((40, 64)) for c in centres]])
+    checked_links(spark, x)
