@@ -221,9 +221,10 @@ def main_text(html: str | None) -> str:
 
     Elements that cannot belong to an article (by tag, role or class name) are
     left out first. Tag paths whose fused ratio reaches the spread of all
-    ratios are content. The ``article`` or ``main`` element with most of it, or
-    else the smallest element that holds nearly all of it, is the container,
-    and all blocks in it count, short ones too, except mere link lists.
+    ratios are content. All outermost ``article`` (or else ``main``) elements with
+    content, or else the smallest element that holds all of it, are containers,
+    and all blocks in them count, short ones too, except mere link lists. Blocks
+    with content outside of these elements count too.
     """
     if not html:
         return ""
@@ -250,25 +251,29 @@ def main_text(html: str | None) -> str:
     named = [e for e in elements.values() if e.tag in ("article", "main")]
     articles = [e for e in named if e.tag == "article"] or named
     if articles:
-        container = max(articles, key=lambda e: (weight[id(e)], -e.depth))
-        if not weight[id(container)]:
-            container = max(articles, key=lambda e: sum(len(t.strip()) for x, _, t in leaves if e in x.chain()))
+        tag = articles[0].tag
+        outermost = [e for e in articles if not any(above.tag == tag for above in e.chain() if above is not e)]
+        containers = [e for e in outermost if weight[id(e)]]
+        if not containers:
+            containers = [max(articles, key=lambda e: sum(len(t.strip()) for x, _, t in leaves if e in x.chain()))]
     else:
-        most = 0.8 * total
-        holding = [e for e in elements.values() if weight[id(e)] >= most and (e.tag in BLOCKS or e is parser.top)]
+        holding = [e for e in elements.values() if weight[id(e)] >= total * (1 - 1e-9) and (e.tag in BLOCKS or e is parser.top)]
         container = max(holding, key=lambda e: e.depth)
         if container.tag in ("p", "li", "td", "th", "tr", "tbody", "blockquote", *HEADINGS) and container.parent:
             container = container.parent
-    inside = {key for key, e in held.items() if any(above is container for above in e.chain())}
+        containers = [container]
+    chosen = {id(e) for e in containers}
+    inside = {key for key, e in held.items() if any(id(above) in chosen for above in e.chain())}
+    passed = {block for e, block, _ in leaves if own[id(e)] and id(e) not in inside}
     blocks: dict[int, list[tuple[str, bool]]] = {}
     for element, block, text in leaves:
-        if id(element) in inside:
+        if id(element) in inside or block in passed:
             blocks.setdefault(block, []).append((text, element.link))
     lines = []
-    for parts in blocks.values():
+    for number, parts in blocks.items():
         line = " ".join("".join(t for t, _ in parts).split())
         linked = sum(len(t.strip()) for t, link in parts if link)
-        if line and (articles or linked <= 0.7 * len(line)):
+        if line and (articles and number not in passed or linked <= 0.7 * len(line)):
             lines.append(line)
     return "\n".join(lines)
 

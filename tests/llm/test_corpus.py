@@ -325,6 +325,16 @@ def test_html_edges():
     assert main_text("<p>" + "long word " * 50_000) == ("long word " * 50_000).strip()
 
 
+def test_html_keeps_all_content():
+    long, rest = "A long first part, with marks. " * 17, "The last part, shorter. " * 4
+    split = f"<div id=page><h1>T</h1><div>{long}</div><div>{rest}</div></div>"
+    assert main_text(split) == "\n".join(["T", long.strip(), rest.strip()])
+    articles = f"<main><article><p>{long}</p></article><article><p>{rest}</p></article></main>"
+    assert main_text(articles) == "\n".join([long.strip(), rest.strip()])
+    outside = f"<main><article><div>{long}</div></article><section><div>{long}More.</div></section></main>"
+    assert main_text(outside) == "\n".join([long.strip(), f"{long}More."])
+
+
 def test_pipeline_matches_its_parts(spark, tmp_path):
     rng = random.Random(6)
     texts = [prose(rng) for _ in range(60)]
