@@ -6,7 +6,8 @@ of every list with each other. Every met pair that links two components joins
 them for good, whatever the lists keep. A vector lists its nearest neighbours
 inside and outside its component separately, so near-duplicates never crowd out
 the rest; components are compared block by block in the end. A bounded audit
-against all vectors tells when to stop.
+against all vectors, together with lists and links that no longer change, tells
+when to stop; without that the search fails.
 """
 
 from __future__ import annotations
@@ -25,13 +26,16 @@ from .groups import by_block, groups_of, in_block_pairs, numbers
 
 LIST = 12  # neighbours kept in the component of a vector, and as many outside
 REVERSE = 12  # vectors that list a vector and join in, at most
-TREES = 3  # random cell orders to start from
+TREES = 3  # random cell orders to start from, at least
 WINDOW = 6  # following vectors of the order that each meets
 CELL = 24  # vectors in a cell of such an order, about
-ROUNDS = 6
-CHANGED = 0.02  # share of list entries below which the lists have settled
+ROUNDS = 6  # after these, cells and windows grow from round to round
+WIDEST = 6  # doublings of a window, at most
+NEAR = 0.2  # list entries up to this far below the threshold have to settle
+CHANGED = 0.02  # share of these entries below which the lists have settled
+JOINS = 0.001  # share of joined components below which the links have settled
 AUDIT = 512  # vectors of the audit, at most
-RECALL = 0.995
+RECALL = 0.995  # share of linked audited vectors all of whose links are found
 BLOCK = 512
 UNSURE = 1e-4  # similarities of rounded vectors this near to the threshold are computed again
 
@@ -41,8 +45,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cells(vectors: DataFrame, bits: int, seed: int) -> DataFrame:
-    """Similarities ``(a, b, s)`` of vectors that are close in one random order of cells."""
+def _cells(vectors: DataFrame, bits: int, seed: int, window: int = WINDOW, least: float = -2.0) -> DataFrame:
+    """Similarities ``(a, b, s)`` from ``least`` of vectors that are close in one random order of cells."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,15 +69,16 @@ def _cells(vectors: DataFrame, bits: int, seed: int) -> DataFrame:
                 for dim in np.unique(size):
                     own = np.flatnonzero(size == dim)
                     x = _unit(numbers(both.column("v").take(pa.array(own)), dim).astype(np.float64))
-                    for k in range(1, WINDOW + 1):
+                    for k in range(1, min(window, len(own) - 1) + 1):
                         a, b = np.arange(len(own) - k), np.arange(k, len(own))
                         use = (cell[own[a]] == cell[own[b]]) & fresh[own[b]]
                         a, b = a[use], b[use]
                         s = np.einsum("ij,ij->i", x[a], x[b])
+                        a, b, s = a[s >= least], b[s >= least], s[s >= least]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(node[own[a]]), pa.array(node[own[b]]), pa.array(s)], names=["a", "b", "s"]
                         )
-                tail = both.slice(max(0, both.num_rows - WINDOW))
+                tail = both.slice(max(0, both.num_rows - window))
 
     order = ["dim", "cell", "mixed"]
     keyed_rows = vectors.mapInArrow(keyed, "node long, dim int, v array<float>, cell long")
@@ -200,6 +205,7 @@ def near_duplicates(
     their rows link with each other. Unusable vectors, and vectors of
     different lengths, link with nothing: such rows have 0 links and their own
     id as component. Rows that repeat an id are vectors of their own with one id.
+    Raises ``RuntimeError`` where the audit stays below ``RECALL``.
     """
     given = vectors.select(F.col(key).alias("_id"), F.col(vector).alias("_given"))
     usable = usable_vectors(given, "_id", "_given").withColumns(
@@ -215,9 +221,9 @@ def near_duplicates(
     n = nodes.count()
     bits = max(1, round(math.log2(max(2.0, n / CELL))))
     truth = scratch.keep(_true_links(light, threshold, min(1.0, 0.8 * AUDIT / max(1, n))))
-    asked = truth.count()
+    asked = truth.select("a").distinct().count()
     pairs = None
-    for seed in range(TREES):
+    for seed in range(max(TREES, bits // 3)):
         part = _cells(light, bits, seed)
         pairs = part if pairs is None else pairs.union(part)
     none = scratch.spark.createDataFrame([], "node long, root long")
@@ -225,19 +231,26 @@ def near_duplicates(
     roots = _merged(scratch, met, none, nodes, threshold)
     lists = scratch.keep(_best(_both_ways(met), roots, LIST))
     scratch.drop(met)
-    recall = 1.0
-    for turn in range(ROUNDS):
-        fresh = scratch.keep(_joined(lists, light, roots, threshold, turn).union(_cells(light, bits, 1000 + turn)))
+    joins = _joins(roots)
+    for turn in range(ROUNDS + 2 * bits):
+        fresh = _joined(lists, light, roots, threshold, turn)
+        wider = min(max(0, turn + 1 - ROUNDS), WIDEST)
+        for order in range(max(1, bits // 6)):
+            seed, least = 1000 * (1 + order) + turn, threshold - NEAR if wider else -2.0
+            fresh = fresh.union(_cells(light, max(0, bits - wider), seed, WINDOW << wider, least))
+        fresh = scratch.keep(fresh)
         grown = _merged(scratch, fresh, roots, nodes, threshold)
         better = scratch.keep(_best(lists.select("a", "b", "s").union(_both_ways(fresh)), grown, LIST))
-        changed = better.join(lists, ["a", "b"], "left_anti").count()
+        close = better.filter(F.col("s") >= threshold - NEAR)
+        changed, entries = close.join(lists, ["a", "b"], "left_anti").count(), close.count()
+        before, joins = joins, _joins(grown)
         scratch.drop(fresh, lists, roots)
         lists, roots = better, grown
-        kept = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        met = truth.join(kept, "a").join(kept.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b").filter("ra = rb")
-        recall = met.count() / asked if asked else 1.0
-        if recall >= RECALL and (asked or changed <= CHANGED * LIST * max(1, n)):
+        recall = _recall(truth, roots, asked)
+        if turn and recall >= RECALL and changed <= CHANGED * entries and joins - before <= JOINS * joins:
             break
+    else:
+        raise RuntimeError(f"near_duplicates has not settled: audited recall {recall:.4f}, {changed} of {entries} near list entries changed")
     grouped = roots.join(nodes.select("node", "dim", F.col("w").alias("v"), "copies", "least"), "node")
     links = _links(grouped, threshold).groupBy("node").agg(F.sum("links").alias("links"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component"))
@@ -256,6 +269,19 @@ def near_duplicates(
     return result, recall
 
 
+def _joins(roots: DataFrame) -> int:
+    """How many links join the components of ``roots``."""
+    return roots.filter("node <> root").count()
+
+
+def _recall(truth: DataFrame, roots: DataFrame, asked: int) -> float:
+    """The share of audited vectors with links all of whose links lie in their component."""
+    if not asked:
+        return 1.0
+    missed = _placed(truth, roots).filter("ra <> rb").select("a").distinct().count()
+    return 1.0 - missed / asked
+
+
 def _without(every: DataFrame, usable: DataFrame) -> DataFrame:
     """The ids in ``every`` beyond those in ``usable``, with their repetitions."""
     return every.exceptAll(usable)

@@ -103,3 +103,28 @@ def test_bridged_dense_groups(spark):
     centres = [a, 0.92 * a + math.sqrt(1 - 0.92**2) * b]
     x = np.vstack([rng.standard_normal((300, 64)), *[c + 0.002 * rng.standard_normal((40, 64)) for c in centres]])
     checked_links(spark, x)
+
+
+def test_separate_pairs_beside_a_dense_group(spark):
+    """The links of one dense group say nothing about the pairs beside it."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((300, 64))
+    y -= (y * x[:300]).sum(axis=1, keepdims=True) * x[:300]
+    x[300:600] = 0.92 * x[:300] + math.sqrt(1 - 0.92**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    x[600:1000] = x[600] + 0.002 * rng.standard_normal((400, 64))
+    rows = [(i, [float(v) for v in row], 1, "") for i, row in enumerate(x)]
+    found, recall = graph.near_duplicates(Scratch(spark), spark.createDataFrame(rows, SCHEMA), 0.9)
+    links = {r.vec_id: r.n_links for r in found.collect()}
+    assert all(links[i] == 399 for i in range(600, 1000))
+    assert sum(links[i] == 1 for i in range(600)) >= 0.995 * 600
+    assert recall >= graph.RECALL
+
+
+def test_missed_bar_fails(spark, monkeypatch):
+    monkeypatch.setattr(graph, "RECALL", 2.0)
+    monkeypatch.setattr(graph, "ROUNDS", 0)
+    rows = [(i, [float(i == k) + 0.01 for k in range(8)], 1, "") for i in range(8)]
+    with pytest.raises(RuntimeError):
+        graph.near_duplicates(Scratch(spark), spark.createDataFrame(rows, SCHEMA), 0.9)
