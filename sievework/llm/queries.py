@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, graph, html, jaccard, language, mixing, packing, sharding, substrings, toxicity
+from . import alignment, ann, filter_audit, graph, html, jaccard, language, mixing, packing, sharding, substrings, token_counts, toxicity
 from .base import Scratch, table
 
 CAPACITY = 2048
@@ -78,7 +78,27 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(Scratch(spark), table(spark, sf_dir, "documents"), CAPACITY)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and how many pre-tokens the shortcut covered."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, token_counts.prove("byte_bpe_50k"))
+    return counted.select(
+        "doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_tokens").alias("n_tokens"),
+        (F.col("_n_tokens") > 512).alias("over_limit"), F.col("_n_whole").alias("n_whole"), F.col("_n_merged").alias("n_merged"),
+    )
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the two tokenizations of every document."""
+    return alignment.align_documents(Scratch(spark), table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter does at each step of all 120 orders, by language."""
+    return filter_audit.filter_interactions(Scratch(spark), table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_language, op4_sharding, op5_mixing, op6_html, op7_nearest, op8_jaccard_join, op9_packing, op10_near_vectors)
+    f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_language, op4_sharding, op5_mixing, op6_html, op7_nearest, op8_jaccard_join, op9_packing, op10_near_vectors, op11_token_counts, op12_alignment, op13_filter_audit)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_filter_audit": filter_audit.ORACLE}
