@@ -1,16 +1,15 @@
 """ZIP members as a Spark data source: JSON arrays become rows, one per element.
 
-Each archive is one input partition. The array is decoded in chunks, so a task
-holds one record at a time and never the whole member. ``outer.zip::inner.zip``
+A deflated member has to be read from its start, so each archive is one input
+partition. The array is cut in chunks, so a task holds one record at a time and
+never the whole member. ``outer.zip::inner.zip``
 style members reach into nested archives.
 """
 
 from __future__ import annotations
 
-import codecs
 import glob
 import hashlib
-import json
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-CHUNK = 1 << 20
+from .arrays import CHUNK, array_elements, read_json_array
 
 
 def open_member(archive: str, member: str):
@@ -37,69 +36,6 @@ def open_member(archive: str, member: str):
     return handle.open(last)
 
 
-def array_elements(stream, name: str) -> Iterator[str]:
-    """The source text of each object in a top-level JSON array."""
-    decode = codecs.getincrementaldecoder("utf-8-sig")().decode
-    scan = json.JSONDecoder().raw_decode
-    buffer, place, ended = "", 0, False
-
-    def more() -> bool:
-        nonlocal buffer, place, ended
-        if ended:
-            return False
-        chunk = stream.read(CHUNK)
-        ended = not chunk
-        try:
-            buffer, place = buffer[place:] + decode(chunk, ended), 0
-        except UnicodeDecodeError as error:
-            raise ValueError(f"Invalid JSON in {name}: {error}") from error
-        return True
-
-    def next_sign() -> str:
-        nonlocal place
-        while True:
-            while place < len(buffer) and buffer[place] in " \t\r\n":
-                place += 1
-            if place < len(buffer):
-                return buffer[place]
-            if not more():
-                return ""
-
-    if next_sign() != "[":
-        whole = buffer[place:] + decode(stream.read(), True)
-        try:
-            json.loads(whole)
-        except ValueError as error:
-            raise ValueError(f"Invalid JSON in {name}: {error}") from error
-        raise ValueError(f"{name}: expected a non-empty JSON list")
-    place += 1
-    count = 0
-    while True:
-        sign = next_sign()
-        if sign == "]" and count == 0:
-            raise ValueError(f"{name}: expected a non-empty JSON list")
-        while True:
-            try:
-                value, end = scan(buffer, place)
-                break
-            except json.JSONDecodeError as error:
-                if not more():
-                    raise ValueError(f"Invalid JSON in {name}: {error}") from error
-        count += 1
-        if not isinstance(value, dict):
-            raise ValueError(f"{name}: record {count} must be an object")
-        yield buffer[place:end]
-        place = end
-        sign = next_sign()
-        place += 1
-        if sign == "]":
-            break
-        if sign != ",":
-            raise ValueError(f"Invalid JSON in {name}: expected ',' after record {count}")
-    if next_sign():
-        raise ValueError(f"Invalid JSON in {name}: text after the list")
-
-
 @dataclass
 class ArchivePart(InputPartition):
     archive: str
@@ -202,39 +138,9 @@ def source_summary(provenance: DataFrame) -> dict[str, Any]:
     return {**together, "source_member": rows[0]["source_member"], "source_member_size": size, "archives": rows}
 
 
-class _PlainReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths = sorted(glob.glob(options["path"]))
-        if not self.paths:
-            raise FileNotFoundError(options["path"])
-
-    def partitions(self):
-        return [ArchivePart(p, "") for p in self.paths]
-
-    def read(self, partition):
-        with open(partition.archive, "rb") as stream:
-            for ordinal, text in enumerate(array_elements(stream, partition.archive), 1):
-                yield (partition.archive, ordinal, text)
-
-
-class JsonArraySource(DataSource):
-    """``format("jsonarray")``: a plain file with one JSON array, read in chunks."""
-
-    @classmethod
-    def name(cls):
-        return "jsonarray"
-
-    def schema(self):
-        return "input string, ordinal bigint, record string"
-
-    def reader(self, schema):
-        return _PlainReader(self.options)
-
-
 def read_record_array(spark: SparkSession, spec: str) -> DataFrame:
     """Records of ``path`` or ``archive::member``."""
     if "::" in spec:
         archive, member = spec.split("::", 1)
         return read_zip_records(spark, archive, member)
-    spark.dataSource.register(JsonArraySource)
-    return spark.read.format("jsonarray").load(spec)
+    return read_json_array(spark, spec)

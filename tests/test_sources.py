@@ -12,7 +12,7 @@ from sievework.plans import release
 from sievework.sinks import fasta as fasta_sink
 from sievework.sinks import tables as sinks
 from sievework.sinks.runs import guarded_folder, receipt
-from sievework.sources import archives, delimited, documents, matches, structures
+from sievework.sources import archives, arrays, delimited, documents, matches, structures
 from sievework.sources.fasta import fasta_violations, headless_files, read_fasta
 
 
@@ -36,12 +36,11 @@ def test_zip_records_keep_their_order(spark, tmp_path, monkeypatch):
     assert found["source_zip_sha256"] == documents.file_digest(path) and found["source_zip"] == "a.zip"
 
 
-def test_small_chunks_give_the_same_elements(monkeypatch):
+def test_small_chunks_give_the_same_elements():
     records = [{"k": "ä€😀" * i, "n": -1.5e3} for i in range(1, 40)]
     body = json.dumps(records, ensure_ascii=False).encode()
     for size in (1, 2, 7, 64):
-        monkeypatch.setattr(archives, "CHUNK", size)
-        assert [json.loads(x) for x in archives.array_elements(io.BytesIO(body), "x")] == records
+        assert [json.loads(x) for x in arrays.array_elements(io.BytesIO(body), "x", size)] == records
 
 
 @pytest.mark.parametrize("body, message", [
@@ -51,7 +50,7 @@ def test_small_chunks_give_the_same_elements(monkeypatch):
 ])
 def test_bad_arrays(body, message):
     with pytest.raises(ValueError, match=message):
-        list(archives.array_elements(io.BytesIO(body.encode()), "x"))
+        list(arrays.array_elements(io.BytesIO(body.encode()), "x"))
 
 
 def test_missing_and_nested_members(spark, tmp_path):
