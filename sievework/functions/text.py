@@ -71,18 +71,6 @@ def only_alphabet(col: Column, alphabet: str = CANONICAL_RESIDUES) -> Column:
     return F.coalesce(~col.rlike(rf"[^\Q{alphabet}\E]"), F.lit(False))
 
 
-def character_counts(col: Column) -> Column:
-    """Distinct characters of a string with their counts, as an array of structs."""
-    distinct = F.array_distinct(F.filter(F.split(col, ""), lambda c: c != ""))
-    return F.transform(
-        distinct,
-        lambda c: F.struct(
-            c.alias("char"),
-            (F.length(col) - F.length(F.replace(col, c, F.lit("")))).alias("n"),
-        ),
-    )
-
-
 @F.pandas_udf(LongType())
 def top_character_count(texts: pd.Series) -> pd.Series:
     """Occurrences of the most frequent character. Counting code points in numpy is

@@ -60,11 +60,7 @@ def _first_per_group(df, group, identity, per_group):
 def near_duplicate_of_selected(spark, folder):
     """For every label the first chosen label it nearly repeats, if any."""
     pool, _ = _label_pool(spark, folder)
-    # Block matching is slow per row, so even a small pool is spread over all cores.
-    cores = spark.sparkContext.defaultParallelism
-    labels = materialise(
-        pool.select("original_accession", "p_type", "sequence").repartition(cores, "original_accession")
-    )
+    labels = materialise(pool.select("original_accession", "p_type", "sequence"))
     chosen = _first_per_group(labels, "p_type", "original_accession", 5)
     near = sel.first_near_selected(labels, chosen, "original_accession", "sequence", "_tie")
     return labels.select("original_accession").join(near, "original_accession", "left")
@@ -185,7 +181,81 @@ _AUDIT = rf"""
     st as (select avg(length(seq)) as m, stddev_pop(length(seq)) as sd from j where not excluded),
     k as (select j.*, coalesce(length(seq) < m - 2 * sd or length(seq) > m + 2 * sd, false) as outlier from j, st)"""
 
+# Labels with their seeded rank; `kept` holds the first copy of each text.
+_LABELS = """
+    ranked as (select cast(p_partkey as varchar) as id, p_type, p_brand, p_size % 10 as src,
+        concat_ws(' ', p_name, p_brand, p_size, p_type) as s,
+        row_number() over (order by sha256('42:' || p_partkey)) - 1 as rank from part),
+    firsts as (select *, first_value(id) over (partition by s order by rank) as first_id from ranked),
+    kept as (select * from firsts where id = first_id)"""
+
+# Pairs `pairs (p, a_id, a, b_id, b)` that are near repeats, as `near`. Characters that agree form
+# diagonal runs; the longest run inside a part (first in a, then in b) is matched and leaves two smaller parts.
+_NEAR = """
+    close as (select * from pairs where least(len(a), len(b))::double / greatest(len(a), len(b)) >= 0.8
+        and list_sum(list_transform(list_distinct(string_split(a, '')), lambda c:
+            least(len(a) - len(replace(a, c, '')), len(b) - len(replace(b, c, ''))))) / least(len(a), len(b))::double >= 0.9),
+    left_cells as (select p, unnest(range(1, len(a) + 1)) as i, unnest(string_split(a, '')) as c from close),
+    right_cells as (select p, unnest(range(1, len(b) + 1)) as j, unnest(string_split(b, '')) as c from close),
+    cells as (select p, i, j, i - row_number() over (partition by p, i - j order by i) as g
+        from left_cells join right_cells using (p, c)),
+    runs as (select p, min(i) as i, min(j) as j, count(*) as n from cells group by p, i - j, g),
+    parts(p, alo, ahi, blo, bhi, got) as (
+        select p, 1::bigint, len(a) + 1, 1::bigint, len(b) + 1, 0::bigint from close
+        union all
+        select p, k.alo, k.ahi, k.blo, k.bhi, k.got from (
+            select p, unnest([{'alo': alo, 'ahi': -m.i, 'blo': blo, 'bhi': -m.j, 'got': 0::bigint},
+                {'alo': m.n - m.i, 'ahi': ahi, 'blo': m.n - m.j, 'bhi': bhi, 'got': 0::bigint},
+                {'alo': 0::bigint, 'ahi': 0::bigint, 'blo': 0::bigint, 'bhi': 0::bigint, 'got': m.n}]) as k
+            from (select s.p, alo, ahi, blo, bhi, max({
+                    'n': least(r.n, ahi - r.i, bhi - r.j) - greatest(0, alo - r.i, blo - r.j),
+                    'i': -(r.i + greatest(0, alo - r.i, blo - r.j)), 'j': -(r.j + greatest(0, alo - r.i, blo - r.j))}) as m
+                from parts s join runs r on r.p = s.p
+                where s.got = 0 and least(r.n, ahi - r.i, bhi - r.j) > greatest(0, alo - r.i, blo - r.j)
+                group by s.p, alo, ahi, blo, bhi))),
+    near as (select a_id, b_id from close join (select p, sum(got) as got from parts group by p) using (p)
+        where got / least(len(a), len(b))::double >= 0.9)"""
+
 ORACLES = {
+    "near_duplicate_of_selected": f"""with recursive {_LABELS},
+        chosen as (select id, s, sha256('42:' || id) as tie from kept
+          qualify row_number() over (partition by p_type order by sha256('42:' || id)) <= 5),
+        pairs as (select row_number() over () as p, k.id as a_id, k.s as a, c.id as b_id, c.s as b
+          from kept k join chosen c on k.id <> c.id),
+        {_NEAR},
+        found as (select a_id, arg_min(b_id, tie) as b_id from near join chosen on id = b_id group by a_id)
+        select id as original_accession, b_id as related_accession from kept left join found on a_id = id""",
+    "diversity_select": f"""with recursive {_LABELS},
+        quotas(g, name, quota) as (values (1, 'ECONOMY', 12), (2, 'SMALL', 6), (3, 'PROMO', 6)),
+        pool as (select id, s, g, rank, p_brand as o, len(s) // 25 as bin, src from kept join quotas on name = p_type),
+        pairs as (select row_number() over () as p, x.id as a_id, x.s as a, y.id as b_id, y.s as b
+          from pool x join pool y on x.id <> y.id),
+        {_NEAR},
+        repeats as (select a_id, list(b_id) as ids from near group by a_id),
+        walk(step, g, taken, sel, popped, id, reason, related) as (
+          select 0, 1, 0, []::struct(id varchar, g integer, o varchar, bin bigint, src bigint)[], []::varchar[],
+            null::varchar, null::varchar, null::varchar
+          union all
+          select step + 1, case when best is null then g + 1 else g end,
+            case when best is null then 0 when other is null then taken + 1 else taken end,
+            case when best is not null and other is null
+              then list_append(sel, {{'id': best.id, 'g': g, 'o': best.o, 'bin': best.bin, 'src': best.src}}) else sel end,
+            case when best is null then popped else list_append(popped, best.id) end, best.id,
+            case when best is null then null when other is null then 'selected' else '{sel.NEAR}' end, other
+          from (select b.*, list_filter(list_transform(sel, lambda x: x.id), lambda x: list_contains(r.ids, x))[1] as other
+            from (select w.step, w.g, w.taken, w.sel, w.popped, min(case when c.id is not null then {{
+                'k1': len(list_filter(w.sel, lambda x: x.g = w.g and x.o = c.o)), 'k2': w.taken,
+                'k3': len(list_filter(w.sel, lambda x: x.g = w.g and x.bin = c.bin)),
+                'k4': len(list_filter(w.sel, lambda x: x.g = w.g and x.src = c.src)),
+                'k5': c.rank, 'id': c.id, 'o': c.o, 'bin': c.bin, 'src': c.src}} end) as best
+              from walk w join quotas q on q.g = w.g
+              left join pool c on c.g = w.g and w.taken < q.quota and not list_contains(w.popped, c.id)
+              group by w.step, w.g, w.taken, w.sel, w.popped) b
+            left join repeats r on r.a_id = b.best.id))
+        select f.id as identity,
+          case when f.id <> first_id then '{sel.DUPLICATE}' else coalesce(w.reason, '{sel.UNUSED}') end as reason,
+          case when f.id <> first_id then first_id else w.related end as related_accession
+        from firsts f left join walk w on w.id = f.id""",
     "near_duplicate_bounds": """with ranked as (select doc_id, lang, row_number() over (partition by lang
             order by sha256('42:' || doc_id)) as n from documents),
         chosen as (select d.doc_id, d.text from ranked r join documents d on d.doc_id = r.doc_id where n <= 2),

@@ -1,12 +1,55 @@
 import random
 from collections import Counter
+from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from sievework.functions.similarity import is_near
+from sievework.functions import similarity as sim
 from sievework.operators import selection as sel
 
 
+def is_near(a, b):
+    """The rule as it reads, without any shortcut."""
+    if not a or not b:
+        return False
+    short, long = sorted([len(a), len(b)])
+    blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+    common = sum(min(a.count(c), b.count(c)) for c in set(a))
+    return short / long >= 0.8 and common / short >= 0.9 and sum(x.size for x in blocks) / short >= 0.9
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcé😀", min_size=1, max_size=40), st.lists(st.tuples(st.integers(0, 39), st.sampled_from(["", "a", "b", "xy"])), max_size=5))
+def test_bounds_never_reject_a_near_pair(text, edits):
+    other = list(text)
+    for place, new in edits:
+        if place < len(other):
+            other[place] = new
+    other = "".join(other)
+    assert (sim.Chosen([other]).first_near([text])[0] == 0) == is_near(text, other)
+
+
+def test_runs_reject_texts_with_equal_letters():
+    rng = random.Random(8)
+    a = "".join(rng.choices("abcdefgh", k=400))
+    b = "".join(sorted(a))
+    assert not sim.runs_suffice(sim.code_points(a), sim.code_points(b))
+    assert sim.runs_suffice(sim.code_points(a), sim.code_points(a[5:]))
+
+
+def test_counts_of_characters_take_one_pass(spark):
+    df = spark.createDataFrame([(1, "abca😀"), (2, None), (3, ""), (4, "zz")], "i int, t string")
+    points = sim.alphabet(df.filter("i < 4"), "t")
+    assert [chr(p) for p in points] == ["a", "b", "c", "😀"]
+    got = {r.i: list(r.v) for r in df.select("i", sim.count_vectors(points)("t").alias("v")).collect()}
+    assert got == {1: [2, 1, 1, 1], 2: [0] * 4, 3: [0] * 4, 4: [0] * 4}
+    assert sim.count_matrix(["ab"], np.zeros(0, np.uint32)).shape == (1, 0)
+
+
 def plain_rule(rows, quotas):
     selected, reasons = [], {}
     for group, quota in quotas.items():
@@ -42,15 +85,19 @@ def test_selection_equals_the_plain_rule(spark, seed, batch):
         rows.append({"id": str(i), "g": rng.choice("abc"), "seq": "".join(text), "o": rng.choice("pqrs"),
                      "t": rng.choice("xy"), "s": rng.choice("12"), "rank": rank})
     quotas = {"a": 6, "b": rng.randint(0, 4), "c": 50}
+    outside = [{**rows[0], "id": "o1", "g": "z", "rank": 2001}, {**rows[1], "id": "o2", "g": None, "rank": 2002}]
     chosen, rejected = sel.diversity_select(
-        spark.createDataFrame(rows), quotas, sel.PoolColumns("id", "g", "seq", "o", "t", "s", "rank"), batch
+        spark.createDataFrame(rows + outside), quotas, sel.PoolColumns("id", "g", "seq", "o", "t", "s", "rank"), batch
     )
     ids, reasons = plain_rule(rows, quotas)
+    reasons |= {r["id"]: (sel.UNUSED, None) for r in outside}
     assert [r["identity"] for r in chosen.orderBy("selection_order").collect()] == ids
     assert {r["identity"]: (r["reason"], r["related_accession"]) for r in rejected.collect()} == reasons
 
 
-def test_first_near_selected_equals_all_pairs(spark):
+@pytest.mark.parametrize("copied", [sel.COPIED, 0])
+def test_first_near_selected_equals_all_pairs(spark, monkeypatch, copied):
+    monkeypatch.setattr(sel, "COPIED", copied)
     rng = random.Random(4)
     bases = ["".join(rng.choices("ACDEFG", k=n)) for n in (30, 33, 40, 80)]
     rows = []
