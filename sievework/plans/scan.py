@@ -53,28 +53,7 @@ def hit_violations(hits: DataFrame, records: DataFrame) -> DataFrame:
 def _aligned(sequence: Column, model: ProfileModel) -> Column:
     """Included domains with their number, coordinates and first broken rule."""
     included = F.filter(F.coalesce("cutoff_domains", F.array()), lambda d: d["included"])
-    cells = F.transform(
-        included,
-        lambda d, i: F.struct(
-            (i + 1).alias("number"), d.alias("d"),
-            al.alignment_columns(
-                d["hmm_sequence"], d["target_sequence"], d["hmm_from"], d["target_from"]
-            ).alias("cells"),
-        ),
-    )
-    return F.transform(
-        cells,
-        lambda x: F.struct(
-            x["number"].alias("number"), x["cells"].alias("cells"),
-            al.deleted_states(
-                x["d"]["hmm_from"], x["d"]["hmm_to"], al.match_states(x["cells"])
-            ).alias("deleted"),
-            al.alignment_error(
-                x["cells"], x["d"]["hmm_sequence"], x["d"]["target_sequence"], x["d"]["hmm_from"],
-                x["d"]["target_from"], x["d"]["target_to"], sequence, F.lit(model.length),
-            ).alias("error"),
-        ),
-    )
+    return al.aligned_domains(included, sequence, model.length)
 
 
 def scan_records(

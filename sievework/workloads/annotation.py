@@ -136,6 +136,24 @@ def align_fold(spark, folder):
     return _alignments(spark, folder).select("p_partkey", F.inline(cells))
 
 
+def alignment_rules(spark, folder):
+    """The first rule that alignments break: names aligned to themselves, spoiled in seven ways."""
+    seq = F.regexp_replace(F.upper("p_name"), " ", "")
+    kind, both = F.col("p_partkey") % 8, F.col("p_partkey") % 16 == 14
+    length = F.length(seq)
+    last = F.concat(F.substr(seq, F.lit(1), length - 1), F.lit("X"))
+    target = (
+        F.when(kind == 1, F.concat(seq, F.lit("A"))).when(kind == 3, F.concat(F.lit("1"), F.substr(seq, F.lit(2))))
+        .when(kind == 4, F.repeat(F.lit("-"), length)).when(kind == 5, F.concat(F.lit("X"), F.substr(seq, F.lit(2))))
+        .when(both, last).otherwise(seq)
+    )
+    error = al.alignment_error(
+        seq, target, F.when(kind == 2, 0).otherwise(1), F.lit(1), F.when(kind == 7, length + 1).otherwise(length), seq,
+        F.when(both, 2).when(kind == 6, length - 1).otherwise(length),
+    )
+    return table(spark, folder, "part").select("p_partkey", error.alias("reason"))
+
+
 def deleted_states(spark, folder):
     """Line numbers between the first and last of an order that it does not use.
 
@@ -276,7 +294,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hit_rules, signature_range_filter, hit_classifier, label_precedence, group_summary,
-        label_checks, label_domain, align_fold, deleted_states, coverage_sums, scan_annotation,
+        label_checks, label_domain, align_fold, alignment_rules, deleted_states, coverage_sums, scan_annotation,
         interval_priority_join, domain_left_join, missing_results, coordinate_integrity,
     )
 }
@@ -355,6 +373,13 @@ ORACLES = {
           from chars window w as (partition by p_partkey order by i rows between unbounded preceding and 1 preceding))
         select p_partkey, position::int as raw_position, case when p <> '.' then state::int end as match_state,
           p = '.' as is_insertion, upper(c) as residue from fold where c not in ('.', '-')""",
+    "alignment_rules": """with p as (select p_partkey, replace(upper(p_name), ' ', '') as seq from part)
+        select p_partkey, case when p_partkey % 8 in (1, 2) then 'Invalid HMM alignment length or 1-based origin'
+          when p_partkey % 8 = 3 then 'Invalid HMM alignment symbol'
+          when p_partkey % 8 = 4 then 'Reported HMM domain has no aligned residues'
+          when p_partkey % 8 = 5 and seq[1] <> 'X' then 'HMM alignment does not match the full input sequence'
+          when p_partkey % 8 = 6 then 'HMM match state is out of range'
+          when p_partkey % 8 = 7 then 'HMM alignment terminal coordinate disagrees with target_to' end as reason from p""",
     "deleted_states": """with o as (select l_orderkey, min(l_linenumber) as a, max(l_linenumber) as b
             from lineitem group by 1),
         s as (select l_orderkey, unnest(range(a, b + 1))::int as deleted_state from o)

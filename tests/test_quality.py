@@ -1,6 +1,8 @@
 import statistics
 
 import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from sievework.operators import histograms as h
 from sievework.operators import labels as lab
 from sievework.operators import quality as q
 from sievework.operators.digests import table_digest
-from sievework.operators.intervals import label_by_interval
+from sievework.operators.intervals import label_by_interval, strongest_cover
 
 
 def numbers(spark, values):
@@ -66,6 +68,26 @@ def test_intervals_prefer_helix(spark):
     assert "".join(r["s"] for r in got) == "CEHHHCCC"
 
 
+def test_intervals_of_any_length_equal_a_plain_search(spark):
+    rng = random.Random(2)
+    spans = [(rng.choice("ab"), rng.randint(-60, 60), rng.choice([0, 0, 1, 3, 17, 90, -2]), rng.choice("HEX")) for _ in range(40)]
+    spans = [(k, lo, lo + n, c) for k, lo, n, c in spans] + [("c", -(10**9), 10**9, "E"), ("c", 5, 5, "H"), (None, 0, 9, "H"), ("c", None, 9, "H")]
+    rows = [(k, p) for k in "abc" for p in range(-70, 160, 3)] * 2 + [(None, 3), ("c", None), ("c", 2 * 10**9)]
+    left = spark.createDataFrame(rows, "k string, p int")
+    right = spark.createDataFrame(spans, "k string, lo int, hi int, code string")
+    got = label_by_interval(left, "p", right, ["k"], "lo", "hi", "code", ["H", "E"], "C", "s")
+    assert got.schema["p"].dataType.simpleString() == "int"
+
+    def label(k, p):
+        codes = {c for n, lo, hi, c in spans if None not in (k, p, n, lo) and n == k and lo <= p <= hi}
+        return "H" if "H" in codes else "E" if "E" in codes else "C"
+
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got.select("k", "p", "s").collect()), key=key) == sorted(((k, p, label(k, p)) for k, p in rows), key=key)
+    cells = strongest_cover(left, right.filter("hi = 1000000000"), ["k"], "p", "lo", "hi", F.lit(1))
+    assert cells.count() == len({p for k, p in rows if k == "c" and p is not None and p <= 10**9})
+
+
 def test_constraints_list_and_enforce(spark):
     schema = "k string, s string, n int"
     left = spark.createDataFrame([("a", "AC", 2), ("b", "", 0), ("b", "A", 3), ("", "A", 1)], schema)
