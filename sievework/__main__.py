@@ -14,8 +14,12 @@ from .plans import jobs, release
 from .plans.audit import AuditProfile
 from .plans.pilot import PilotProfile
 from .plans.scan import ProfileModel
+from .sources.delimited import read_csv
 from .sources.documents import load_object, load_rules
 
+# As many wrong rows of a manifest are printed; the exit code counts all of them.
+SHOWN = 100
+
 
 def _ratios(text: str) -> dict[str, float]:
     try:
@@ -92,16 +96,33 @@ def parser() -> argparse.ArgumentParser:
     v = sub.add_parser("validate", help="release receipts against frozen values; exit 1 on errors")
     for name in ("audit", "mmseqs", "split", "frozen"):
         v.add_argument(f"--{name}", required=True)
+    v.add_argument("--manifest", help="split manifest as CSV")
+    v.add_argument("--receipt", action="append", default=[], metavar="NAME=FILE", help="a handed-over receipt")
+    v.add_argument("--rules", help="JSON object with a table of rules per receipt name")
     v.set_defaults(run=_validate)
     return top
 
 
 def _validate(spark: SparkSession, o) -> list[str]:
+    """What is wrong with the receipts, the handed-over ones and the manifest; rules are few, so are their errors."""
     paths = {"audit": o.audit, "mmseqs": o.mmseqs, "split": o.split}
-    loaded = release.load_documents(spark, paths)
+    given = dict(item.split("=", 1) for item in o.receipt)
+    if clash := given.keys() & paths.keys():
+        raise ValueError(f"receipt names already taken: {sorted(clash)}")
+    own = load_object(o.rules) if o.rules else {}
+    if unknown := given.keys() - own.keys() - release.HANDED_OVER.keys():
+        raise ValueError(f"no rules for receipts {sorted(unknown)}")
+    loaded, frozen = release.load_documents(spark, paths | given), load_object(o.frozen)
     problems = list(loaded.first()["load_errors"])
-    found = release.validate_release(loaded, load_object(o.frozen)).orderBy("position").collect()
-    return problems + [row["error"] for row in found]
+    problems += [r["error"] for r in release.validate_release(loaded, frozen).orderBy("position").collect()]
+    if given:
+        tables = {name: own.get(name) for name in given}
+        problems += [r["error"] for r in release.validate_handover(loaded, frozen, tables).orderBy("position").collect()]
+    if o.manifest:
+        shown = release.manifest_errors(read_csv(spark, o.manifest, {"homology_cluster", "split"})).orderBy("error").limit(SHOWN + 1)
+        lines = [r["error"] for r in shown.collect()]
+        problems += lines[:SHOWN] + ["manifest: and more"] * (len(lines) > SHOWN)
+    return problems
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -1,95 +1,124 @@
-"""Rules over JSON receipts held in VARIANT columns; every broken rule is one error text.
+"""Rules over JSON receipts held in VARIANT columns; rules are rows of a table.
 
-Any number of receipts is checked in one row-local pass, and problems come back
-as data instead of stopping at the first.
+Every path that a rule names is read from its document once, into a map of JSON texts. Then
+the rules, a constant array, are tried on that map within the row. So any number of
+receipts takes one pass without a shuffle, and all broken rules come back as rows.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
+from dataclasses import asdict, dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What a rule asks of the value at its path.
+KINDS = ("required", "digest", "equals", "alike", "same_digest", "mentions", "begins", "always")
+_SCHEMA = (
+    "array<struct<kind: string, name: string, at: string, expected: string, other: string, other_name: string, "
+    "needs: array<string>>>"
+)
 
-def path_text(path: tuple[str, ...]) -> str:
-    return "$" + "".join(f"['{part}']" for part in path)
 
+@dataclass(frozen=True)
+class Rule:
+    """One rule about the value at ``path`` of ``document``.
 
-def literal(doc: Column, *path: str) -> Column:
-    """The JSON text of a value, so that numbers, texts and flags never mix; NULL if absent."""
-    return F.to_json(F.try_variant_get(doc, path_text(path), "variant"))
-
-
-def text(doc: Column, *path: str) -> Column:
-    """A value as text if it is one; NULL otherwise."""
-    raw = literal(doc, *path)
-    return F.when(raw.startswith('"'), F.try_variant_get(doc, path_text(path), "string"))
-
+    ``required``: it is neither absent, null nor "". ``digest``: it is a SHA-256 digest.
+    ``equals``: its JSON text is that of ``expected``, so numbers, texts and flags never mix.
+    ``alike``: it equals the text at ``other``, if both are texts. ``same_digest``: it is a digest and equals
+    ``other``. ``mentions``, ``begins``: a text that holds or begins with ``expected``. ``always``: broken as it stands.
+    The rule applies where all documents in ``needs`` are there.
+    """
 
-def is_blank(doc: Column, *path: str) -> Column:
-    return F.coalesce(literal(doc, *path), F.lit("null")).isin("null", '""')
+    kind: str
+    document: str
+    path: tuple[str, ...] = ()
+    expected: Any = None
+    other: tuple[str, ...] = ()
+    needs: tuple[str, ...] = ()
+    name: str = ""
 
+    def __post_init__(self):
+        if self.kind not in KINDS:
+            raise ValueError(f"no such kind of rule: {self.kind}")
 
-def equals(doc: Column, path: tuple[str, ...], expected: Any) -> Column:
-    return F.coalesce(literal(doc, *path) == json.dumps(expected), F.lit(False))
+    def row(self) -> dict[str, Any]:
+        text = self.expected if self.kind in ("mentions", "begins") else json.dumps(self.expected, ensure_ascii=False)
+        return {
+            "kind": self.kind, "name": self.name or ".".join((self.document, *self.path)),
+            "at": place(self.document, *self.path), "expected": text, "other": place(*self.other) if self.other else None,
+            "other_name": ".".join(self.other), "needs": list(self.needs or (self.document,)),
+        }
 
 
-def missing_fields(doc: Column, name: str, fields: list[str]) -> list[Column]:
-    return [
-        F.when(doc.isNotNull() & is_blank(doc, field), F.lit(f"missing receipt field: {name}.{field}"))
-        for field in fields
-    ]
-
-
-def hash_errors(doc: Column, name: str, paths: list[tuple[str, ...]]) -> list[Column]:
-    errors = []
-    for path in paths:
-        label = f"{name}.{'.'.join(path)}"
-        valid = F.coalesce(text(doc, *path).rlike("^[0-9a-f]{64}$"), F.lit(False))
-        errors.append(
-            F.when(doc.isNotNull() & is_blank(doc, *path), F.lit(f"missing hash: {label}")).when(
-                doc.isNotNull() & ~valid, F.lit(f"invalid hash: {label}")
-            )
-        )
-    return errors
+def rules_from(rows: Iterable[dict[str, Any]], baseline: dict[str, Any] | None = None) -> list[Rule]:
+    """Rules of a table, such as a JSON file holds; ``baseline`` in a row names the expected value."""
+    found = []
+    for row in rows:
+        given = {k: tuple(v) if isinstance(v, list) else v for k, v in row.items() if k != "baseline"}
+        if "baseline" in row:
+            if row["baseline"] not in (baseline or {}):
+                raise ValueError(f"no baseline value {row['baseline']}")
+            given["expected"] = baseline[row["baseline"]]
+        found.append(Rule(**given))
+    return found
 
 
-def unequal(left: Column, right: Column, message: str) -> Column:
-    """Two texts that are both there must be equal; an absent one is reported elsewhere."""
-    return F.when(left.isNotNull() & right.isNotNull() & (left != right), F.lit(message))
+def table_of(rules: Iterable[Rule]) -> list[dict[str, Any]]:
+    """The rows that ``rules_from`` reads back."""
+    return [{k: list(v) if isinstance(v, tuple) else v for k, v in asdict(r).items()} for r in rules]
 
 
-def expect(condition: Column, message: str) -> Column:
-    return F.when(~F.coalesce(condition, F.lit(False)), F.lit(message))
+def place(document: str, *path: str) -> str:
+    return document + ":" + "".join(f"['{part}']" for part in path)
 
 
-def _shown(raw: Column) -> Column:
-    """A JSON literal in the notation of the error texts."""
-    value = F.coalesce(raw, F.lit("null"))
-    return (
-        F.when(value == "null", "None").when(value == "true", "True").when(value == "false", "False")
-        .when(value.startswith('"'), F.concat(F.lit("'"), F.substring(value, F.lit(2), F.length(value) - 2), F.lit("'")))
-        .otherwise(value)
+def literal(doc: Column, *path: str) -> Column:
+    """The JSON text of a value; NULL if absent."""
+    return F.to_json(F.try_variant_get(doc, "$" + "".join(f"['{p}']" for p in path), "variant"))
+
+
+def broken_rules(documents: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
+    """(key, position, error) of every broken rule; documents are VARIANT columns, NULL where one is not there."""
+    names = sorted({n for r in rules for n in (r.document, *r.needs, *r.other[:1]) if n})
+    wanted = sorted({(r.document, *r.path) for r in rules if r.path} | {r.other for r in rules if r.other})
+    there = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in names]))
+    facts = F.map_from_arrays(
+        F.array(*[F.lit(place(*w)) for w in wanted]).cast("array<string>"),
+        F.array(*[literal(F.col(doc), *path) for doc, *path in wanted]).cast("array<string>"),
     )
-
-
-def baseline_errors(observed: dict[str, Column], frozen: dict[str, Any], prefix: str = "") -> list[Column]:
-    """Named literals against frozen values of the same type."""
-    return [
-        F.when(
-            ~F.coalesce(observed[name] == json.dumps(value), F.lit(False)),
-            F.concat(
-                F.lit(f"frozen baseline mismatch: {prefix}{name} is "), _shown(observed[name]),
-                F.lit(f", expected {value!r}"),
-            ),
+    read = documents.select(key, there.alias("_there"), facts.alias("_facts"))
+    table = F.from_json(F.lit(json.dumps([r.row() for r in rules], ensure_ascii=False)), _SCHEMA)
+    tried = F.transform(table, lambda r: F.when(F.forall(r["needs"], lambda n: F.array_contains("_there", n)), _error(r)))
+    return read.select(key, F.posexplode(tried).alias("position", "error")).filter("error is not null")
+
+
+def _error(rule: Column) -> Column:
+    value, other = F.try_element_at("_facts", rule["at"]), F.try_element_at("_facts", rule["other"])
+    name, kind, expected = rule["name"], rule["kind"], rule["expected"]
+    blank = F.coalesce(value, F.lit("null")).isin("null", '""')
+    digest = F.coalesce(value.rlike('^"[0-9a-f]{64}"$'), F.lit(False))
+    differs = F.concat(name, F.lit(" differs from "), rule["other_name"])
+    texts = value.startswith('"') & other.startswith('"')
+    holds = {
+        "mentions": F.lower(value).contains(F.lower(expected)),
+        "begins": value.startswith(F.concat(F.lit('"'), expected)),
+    }
+    result = F.when((kind == "required") & blank, F.concat(name, F.lit(": no value")))
+    result = result.when((kind == "digest") & blank, F.concat(name, F.lit(": no digest")))
+    result = result.when(kind.isin("digest", "same_digest") & ~digest, F.concat(name, F.lit(": not a SHA-256 digest")))
+    result = result.when((kind == "same_digest") & ~value.eqNullSafe(other), differs)
+    result = result.when((kind == "alike") & F.coalesce(texts & (value != other), F.lit(False)), differs)
+    result = result.when(
+        (kind == "equals") & ~value.eqNullSafe(expected),
+        F.concat(name, F.lit(": "), F.coalesce(value, F.lit("nothing")), F.lit(" instead of "), expected),
+    )
+    for which, held in holds.items():
+        result = result.when(
+            (kind == which) & ~F.coalesce(held, F.lit(False)), F.concat(name, F.lit(f": {which} nothing like "), expected)
         )
-        for name, value in frozen.items()
-    ]
-
-
-def error_rows(df: DataFrame, key: str, errors: list[Column]) -> DataFrame:
-    """(key, error) rows in the order of the rules."""
-    found = F.array_compact(F.array(*errors))
-    return df.select(key, F.posexplode(found).alias("position", "error"))
+    return result.when(kind == "always", name)

@@ -401,24 +401,22 @@ def receipt_rules(spark, folder):
             F.struct(F.floor(key / 10000).alias("discovery")).alias("counts"),
         )
     )
-    receipts = table(spark, folder, "orders").select("o_orderkey", F.parse_json(body).alias("doc"))
-    doc = F.col("doc")
-    errors = [
-        *rc.missing_fields(doc, "audit", ["status", "counts"]),
-        *rc.hash_errors(doc, "audit", [("output_sha256", "metadata.csv")]),
-        rc.expect(rc.equals(doc, ("cluster_leakage",), False), "cluster leakage"),
-        *rc.baseline_errors({"discovery": rc.literal(doc, "counts", "discovery")}, {"discovery": 0}),
+    receipts = table(spark, folder, "orders").select("o_orderkey", F.parse_json(body).alias("audit"))
+    rules = [
+        rc.Rule("required", "audit", ("status",)), rc.Rule("required", "audit", ("counts",)),
+        rc.Rule("digest", "audit", ("output_sha256", "metadata.csv")),
+        rc.Rule("equals", "audit", ("cluster_leakage",), False), rc.Rule("equals", "audit", ("counts", "discovery"), 0),
     ]
-    return rc.error_rows(receipts, "o_orderkey", errors).select("o_orderkey", "error")
+    return rc.broken_rules(receipts, "o_orderkey", rules).select("o_orderkey", "error")
 
 
 QUERIES["receipt_rules"] = receipt_rules
 ORACLES["receipt_rules"] = """with r as (select o_orderkey as k from orders), e as (
-        select k, 'missing receipt field: audit.status' as error from r where k % 7 = 0 union all
-        select k, 'invalid hash: audit.output_sha256.metadata.csv' from r
+        select k, 'audit.status: no value' as error from r where k % 7 = 0 union all
+        select k, 'audit.output_sha256.metadata.csv: not a SHA-256 digest' from r
           where k % 5 = 0 and upper(sha256(cast(k as varchar))) <> sha256(cast(k as varchar)) union all
-        select k, 'missing hash: audit.output_sha256.metadata.csv' from r where k % 5 <> 0 and k % 11 = 0 union all
-        select k, 'cluster leakage' from r where k % 13 = 0 union all
-        select k, 'frozen baseline mismatch: discovery is ' || (k // 10000) || ', expected 0' from r
+        select k, 'audit.output_sha256.metadata.csv: no digest' from r where k % 5 <> 0 and k % 11 = 0 union all
+        select k, 'audit.cluster_leakage: true instead of false' from r where k % 13 = 0 union all
+        select k, 'audit.counts.discovery: ' || (k // 10000) || ' instead of 0' from r
           where k // 10000 <> 0)
     select k as o_orderkey, error from e"""

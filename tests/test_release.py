@@ -50,7 +50,7 @@ def run(spark, cases, rules):
     rows = [(i, *[None if case.get(n) is None else json.dumps(case[n]) for n in names]) for i, case in enumerate(cases)]
     df = spark.createDataFrame(rows, ", ".join(["release int", *[f"{n} string" for n in names]]))
     df = df.select("release", *[F.parse_json(n).alias(n) for n in names])
-    found = rc.error_rows(df, "release", rules).orderBy("release", "position").collect()
+    found = rc.broken_rules(df, "release", rules).orderBy("release", "position").collect()
     return [[r["error"] for r in found if r["release"] == i] for i in range(len(cases))]
 
 
@@ -69,65 +69,75 @@ def changed(base, *path, value="DELETE"):
 def test_release_rules(spark):
     cases = [
         (GOOD, []),
-        (changed(GOOD, "audit", "primary_cohort"),
-         ["missing receipt field: audit.primary_cohort", "frozen baseline mismatch: primary_cohort is None, expected 7"]),
-        (changed(GOOD, "audit", "output_sha256", "members.csv", value=""), ["missing hash: audit.output_sha256.members.csv"]),
-        (changed(GOOD, "split", "split_manifest_sha256", value="ABC"), ["invalid hash: split.split_manifest_sha256"]),
-        (changed(GOOD, "split", "split_manifest_sha256", value=12), ["invalid hash: split.split_manifest_sha256"]),
-        (changed(GOOD, "split", "cluster_leakage", value="false"), ["cluster leakage: split receipt cluster_leakage is not false"]),
+        (changed(GOOD, "audit", "primary_cohort"), ["audit.primary_cohort: no value", "primary_cohort: nothing instead of 7"]),
+        (changed(GOOD, "audit", "output_sha256", "members.csv", value=""), ["audit.output_sha256.members.csv: no digest"]),
+        (changed(GOOD, "split", "split_manifest_sha256", value="ABC"), ["split.split_manifest_sha256: not a SHA-256 digest"]),
+        (changed(GOOD, "split", "split_manifest_sha256", value=12), ["split.split_manifest_sha256: not a SHA-256 digest"]),
+        (changed(GOOD, "split", "cluster_leakage", value="false"), ['split.cluster_leakage: "false" instead of false']),
         (changed(GOOD, "mmseqs", "input_fasta_sha256", value=E),
-         ["hash mismatch: audit sequences_for_clustering.fasta != mmseqs input_fasta_sha256"]),
-        (changed(GOOD, "split", "metadata_sha256", value=E), ["hash mismatch: audit metadata.csv != split metadata_sha256"]),
+         ["mmseqs.input_fasta_sha256 differs from audit.output_sha256.sequences_for_clustering.fasta"]),
+        (changed(GOOD, "split", "metadata_sha256", value=E), ["split.metadata_sha256 differs from audit.output_sha256.metadata.csv"]),
         (changed(GOOD, "split", "mmseqs_cluster_tsv_sha256", value=E),
-         ["hash mismatch: mmseqs cluster TSV != split mmseqs_cluster_tsv_sha256"]),
-        (changed(GOOD, "split", "sequence_counts", "discovery", value=5),
-         ["frozen baseline mismatch: discovery_sequences is 5, expected 6"]),
-        (changed(GOOD, "audit", "dataset_version", value="data-2"),
-         ["frozen baseline mismatch: dataset_version is 'data-2', expected 'data-1'"]),
-        (changed(GOOD, "audit", "candidate_records", value="10"),
-         ["frozen baseline mismatch: candidate_records is '10', expected 10"]),
+         ["split.mmseqs_cluster_tsv_sha256 differs from mmseqs.mmseqs_cluster_tsv_sha256"]),
+        (changed(GOOD, "split", "sequence_counts", "discovery", value=5), ["discovery_sequences: 5 instead of 6"]),
+        (changed(GOOD, "audit", "dataset_version", value="data-2"), ['dataset_version: "data-2" instead of "data-1"']),
+        (changed(GOOD, "audit", "candidate_records", value="10"), ['candidate_records: "10" instead of 10']),
         (changed(GOOD, "mmseqs"), []),
     ]
-    results = run(spark, [case for case, _ in cases], release.release_errors(FROZEN))
+    results = run(spark, [case for case, _ in cases], release.release_rules(FROZEN))
     for got, (_, expected) in zip(results, cases):
         assert got == expected
+    few = release.release_rules({**{n: v for n, v in FROZEN.items() if n != "split_version"}, "mood": 1})
+    assert run(spark, [GOOD], few) == [["mood is not a frozen name", "split_version has no frozen value"]]
+
+
+def test_rules_come_from_tables_and_go_back():
+    rules = release.release_rules(FROZEN)
+    assert rc.rules_from(json.loads(json.dumps(rc.table_of(rules)))) == rules
+    named = rc.rules_from([{"kind": "equals", "document": "x", "path": ["n"], "baseline": "primary_cohort"}], FROZEN)
+    assert named == [rc.Rule("equals", "x", ("n",), 7)]
+    with pytest.raises(ValueError, match="no such kind"):
+        rc.Rule("smells", "x")
+    with pytest.raises(ValueError, match="no baseline value"):
+        rc.rules_from([{"kind": "equals", "document": "x", "baseline": "other"}], FROZEN)
 
 
 def test_every_field_and_hash_is_required(spark):
     paths = [("audit", f) for f in release.AUDIT_FIELDS] + [("mmseqs", f) for f in release.CLUSTERING_FIELDS]
     paths += [("split", f) for f in release.SPLIT_FIELDS] + [("audit", *p) for p in release.AUDIT_HASHES]
-    results = run(spark, [changed(GOOD, *p) for p in paths], release.release_errors(FROZEN))
+    results = run(spark, [changed(GOOD, *p) for p in paths], release.release_rules(FROZEN))
     for path, errors in zip(paths, results):
         assert any(".".join(path) in e for e in errors), path
 
 
-def test_handoff_rules(spark):
-    rules = release.reproduction_errors(FROZEN)
+def test_handed_over_receipts(spark):
+    base = {**GOOD, "dataset": REPRODUCED["b_data"], "dataset_split": REPRODUCED["b_split"]}
+    rules = release.handover_rules("dataset", FROZEN) + release.handover_rules("dataset_split", FROZEN)
     cases = [
-        (REPRODUCED, []),
-        (changed(REPRODUCED, "b_data", "counts", "primary", value=8),
-         ["frozen baseline mismatch: b_data.counts.primary is 8, expected 7"]),
-        (changed(REPRODUCED, "b_data", "outputs", "members_sha256", value=E), ["hash mismatch: b_data.outputs.members_sha256 != frozen audit"]),
-        (changed(REPRODUCED, "b_data", "source", "source_member_sha256"), ["missing hash: b_data.source.source_member_sha256"]),
-        (changed(REPRODUCED, "b_split", "cluster_leakage", value=True), ["cluster leakage: B split receipt cluster_leakage is not false"]),
-        (changed(REPRODUCED, "b_split", "cluster_counts", "validation", value=2),
-         ["frozen baseline mismatch: B discovery/validation cluster counts"]),
-        (changed(REPRODUCED, "b_split", "split_manifest_sha256", value=A), ["hash mismatch: b_split.split_manifest_sha256 != frozen split"]),
-        (changed(REPRODUCED, "b_split", "comparison", "counts_match_frozen", value=False),
-         ["B comparison does not confirm frozen counts and split manifest hash"]),
+        (base, []),
+        (changed(base, "dataset", "counts", "primary", value=8), ["dataset.counts.primary: 8 instead of 7"]),
+        (changed(base, "dataset", "outputs", "members_sha256", value=E), ["dataset.outputs.members_sha256 differs from audit.output_sha256.members.csv"]),
+        (changed(base, "dataset", "source", "source_member_sha256"), ["dataset.source.source_member_sha256: not a SHA-256 digest"]),
+        (changed(base, "dataset_split", "cluster_leakage", value=True), ["dataset_split.cluster_leakage: true instead of false"]),
+        (changed(base, "dataset_split", "cluster_counts", "validation", value=2), ["dataset_split.cluster_counts.validation: 2 instead of 1"]),
+        (changed(base, "dataset_split", "split_manifest_sha256", value=A), ["dataset_split.split_manifest_sha256 differs from split.split_manifest_sha256"]),
+        (changed(base, "dataset_split", "comparison", "counts_match_frozen", value=False),
+         ["dataset_split.comparison.counts_match_frozen: false instead of true"]),
+        (changed(base, "dataset"), []),
     ]
     for got, (_, expected) in zip(run(spark, [x for x, _ in cases], rules), cases):
         assert got == expected
+    own = {**release.HANDED_OVER["structure"], "equals": {n: EXPECTED[n] for n in ("pdb_id", "chain", "n_modeled_residues")},
+           "begins": {"hmm.accession": "PX1"}}
     good = {"structure": STRUCTURE}
     cases = [good, changed(good, "structure", "chain", value="A"), changed(good, "structure", "n_modeled_residues", value=6),
-             changed(good, "structure", "purpose", value="labels"), changed(good, "structure", "hmm", "sha256", value="x")]
-    sizes = [len(e) for e in run(spark, cases, release.structure_errors(EXPECTED))]
-    assert sizes == [0, 1, 1, 1, 1]
+             changed(good, "structure", "purpose", value="labels"), changed(good, "structure", "hmm", "sha256", value="x"),
+             changed(good, "structure", "hmm", "accession", value="QX1")]
+    assert [len(e) for e in run(spark, cases, release.handover_rules("structure", FROZEN, own))] == [0, 1, 1, 1, 1, 1]
     good = {"scan": SCAN}
     cases = [good, changed(good, "scan", "parameters", "validation_used_for_conservation", value=True),
              changed(good, "scan", "n_sequences", value=8), changed(good, "scan", "by_split"), {"scan": None}]
-    sizes = [len(e) for e in run(spark, cases, release.scan_errors("scan", "scan", 9))]
-    assert sizes == [0, 1, 1, 1, 0]
+    assert [len(e) for e in run(spark, cases, release.handover_rules("scan", FROZEN))] == [0, 1, 1, 1, 0]
 
 
 def test_manifest_rules(spark):
@@ -136,8 +146,7 @@ def test_manifest_rules(spark):
     assert release.manifest_errors(good).isEmpty()
     bad = good.unionByName(spark.createDataFrame([("a", "validation"), (" ", "discovery")], schema))
     assert sorted(r["error"] for r in release.manifest_errors(bad).collect()) == [
-        "cluster leakage: homology cluster a is assigned to more than one split",
-        "missing receipt field: split_manifest row",
+        "manifest: cluster in several splits: a", "manifest: rows without cluster or split: 1",
     ]
 
 
@@ -152,7 +161,19 @@ def test_command_line_exit_codes(spark, tmp_path, capsys):
     assert validate() == 0
     (tmp_path / "bad.json").write_text(json.dumps(changed(GOOD, "audit", "source")["audit"]))
     assert validate(audit=str(tmp_path / "bad.json")) == 1
-    assert "missing receipt field: audit.source" in capsys.readouterr().err
+    assert "audit.source: no value" in capsys.readouterr().err
+    (tmp_path / "dataset.json").write_text(json.dumps(REPRODUCED["b_data"]))
+    (tmp_path / "m.csv").write_text("homology_cluster,split\na,discovery\na,validation\n")
+    names = [x for n in ("audit", "mmseqs", "split", "frozen") for x in (f"--{n}", str(tmp_path / f"{n}.json"))]
+    more = ["--receipt", f"dataset={tmp_path}/dataset.json"]
+    assert main(["validate", *names, *more]) == 0
+    assert main(["validate", *names, "--receipt", f"other={tmp_path}/dataset.json"]) == 2
+    capsys.readouterr()
+    assert main(["validate", *names, *more, "--manifest", str(tmp_path / "m.csv")]) == 1
+    assert "manifest: cluster in several splits: a" in capsys.readouterr().err
+    (tmp_path / "rules.json").write_text(json.dumps({"dataset": {"equals": {"status": "new"}}}))
+    assert main(["validate", *names, *more, "--rules", str(tmp_path / "rules.json")]) == 1
+    assert 'dataset.status: "ok" instead of "new"' in capsys.readouterr().err
     assert validate(split=str(tmp_path / "none.json")) == 1
     assert "missing receipt" in capsys.readouterr().err
 

@@ -210,7 +210,7 @@ def test_control_documents(spark, tmp_path):
     receipts = [ok, [ok], {"source_url": "u", **ok}, [ok, ok], {**ok, "sha256": "e"}, {**ok, "retrieved_utc": ""}, {**ok, "url": "v"}, "x", []]
     rows = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(receipts)], "n int, body string")
     rows = rows.select("n", F.parse_json("body").alias("receipt"))
-    found = rc.error_rows(rows, "n", release.source_receipt_errors("d", "u")).groupBy("n").count().collect()
+    found = rc.broken_rules(release.source_entries(rows), "n", release.source_rules("d", "u")).groupBy("n").count().collect()
     assert dict(map(tuple, found)) == {3: 1, 4: 1, 5: 1, 6: 1, 7: 3, 8: 3}
     assert documents.load_receipt(tmp_path / "none")[1][0].startswith("missing receipt")
     path.write_text("{")
