@@ -93,6 +93,11 @@ def parser() -> argparse.ArgumentParser:
     g.set_defaults(run=lambda spark, o: jobs.run_report(
         spark, o.parsed_dir, o.groups, o.accession, o.output_dir))
 
+    w = sub.add_parser("verify", help="a finished scan against its records and receipt")
+    for name in ("scan-dir", "metadata", "fasta", "output-dir"):
+        w.add_argument(f"--{name}", required=True)
+    w.set_defaults(run=lambda spark, o: jobs.run_verify(spark, o.scan_dir, o.metadata, o.fasta, o.output_dir))
+
     v = sub.add_parser("validate", help="release receipts against frozen values; exit 1 on errors")
     for name in ("audit", "mmseqs", "split", "frozen"):
         v.add_argument(f"--{name}", required=True)

@@ -139,20 +139,24 @@ def coordinate_integrity(
 
     Sequences are cut into single letters and joined on (identity, position), so
     the work is linear in their length and one long sequence spreads over tasks.
+    Nothing is joined on the identity alone but the identities without a sequence, normally none.
     """
     letters = coordinates.groupBy(identity, position, residue).agg(F.count(F.lit(1)).alias("_n"))
     cells = F.posexplode(F.split(F.col(sequence), "")).alias("_at", "_letter")
     single = sequences.select(identity, cells).filter("_letter <> ''")
     single = single.select(identity, (F.col("_at") + 1).cast("int").alias("_position"), "_letter")
-    known = sequences.select(identity, F.lit(True).alias("_known"))
+    unknown = (
+        coordinates.select(identity).distinct().join(sequences.select(identity), identity, "left_anti")
+        .withColumn("_unknown", F.lit(True))
+    )
     here = F.greatest(F.col(position).cast("int"), F.lit(1)) == F.col("_position")
     joined = (
         letters.join(single.withColumnRenamed(identity, "_owner"), (F.col(identity) == F.col("_owner")) & here, "left")
-        .join(known, identity, "left")
+        .join(unknown, identity, "left")
     )
     name = F.concat_ws(":", F.col(identity).cast("string"), F.col(position).cast("string"))
-    right = F.coalesce(F.col("_letter"), F.when(F.col("_known"), F.lit("")))
-    wrong = F.col("_known").isNull() | (F.col(position) < 1) | (right != F.col(residue))
+    right = F.coalesce(F.col("_letter"), F.when(F.col("_unknown").isNull(), F.lit("")))
+    wrong = F.col("_unknown").isNotNull() | (F.col(position) < 1) | (right != F.col(residue))
     frames = [
         check(joined, "residue identity", wrong, name, F.coalesce(right, F.lit("unknown sequence"))),
         unique_key(coordinates, [*unit, position], "coordinate uniqueness"),
@@ -167,6 +171,39 @@ def coordinate_integrity(
     return all_violations(frames)
 
 
+def reconcile_counts(
+    expected: DataFrame, details: dict[str, DataFrame], identity: str
+) -> DataFrame:
+    """Stored counts per record against the rows they count, in one grouped pass.
+
+    ``expected`` has one row per record, ``identity`` and a column per name of ``details``;
+    each detail table has ``identity`` and the value of which distinct ones are counted.
+    Every table is first cut to one row per distinct pair, so no key of a
+    shuffle is one record alone, and records meet as partial sums. Returns all records with
+    ``<name>`` (counted), ``<name>_stored`` and ``state``: agrees, differs, unknown record, repeated record.
+    """
+    zero = F.lit(0).cast("bigint")
+    parts = [
+        expected.select(
+            identity, F.lit(1).cast("bigint").alias("_records"), *[zero.alias(n) for n in details],
+            *[F.coalesce(F.col(n).cast("bigint"), zero).alias(f"{n}_stored") for n in details],
+        )
+    ]
+    for name, rows in details.items():
+        value = next(c for c in rows.columns if c != identity)
+        parts.append(
+            rows.filter(F.col(value).isNotNull()).distinct().select(
+                identity, zero.alias("_records"), *[F.lit(int(n == name)).cast("bigint").alias(n) for n in details],
+                *[zero.alias(f"{n}_stored") for n in details],
+            )
+        )
+    columns = ["_records", *details, *[f"{n}_stored" for n in details]]
+    together = reduce(DataFrame.unionByName, parts).groupBy(identity).agg(*[F.sum(n).alias(n) for n in columns])
+    same = reduce(lambda a, b: a & b, [F.col(n) == F.col(f"{n}_stored") for n in details])
+    state = F.when(F.col("_records") == 0, "unknown record").when(F.col("_records") > 1, "repeated record").when(same, "agrees")
+    return together.withColumn("state", state.otherwise("differs")).drop("_records")
+
+
 def expected_values(observed: DataFrame, expected: dict[str, str]) -> DataFrame:
     """Compare named values (name, value) with a frozen map; absent names differ too."""
     spark = observed.sparkSession

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from pathlib import Path
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
@@ -20,6 +19,7 @@ from ..operators.quality import COHORT_LABELS
 from ..session import materialise
 from ..sinks import fasta as fasta_sink
 from ..sinks.runs import guarded_folder, receipt
+from ..sinks.storage import Place
 from ..sinks.tables import markdown_table, write_csv, write_document, write_json_lines
 from ..sources import archives, delimited, documents, matches
 from ..sources.fasta import fasta_violations, headless_files, read_fasta
@@ -98,7 +98,7 @@ def run_audit(
             "function_labels_present": False,
             "sequence_qc_rule": "canonical amino acids; non-empty unique sequence ID; exact-sequence representative",
             "primary_analysis_rule": "sequence QC eligible; no partial annotation; no other member type",
-            "audit_summary_sha256": documents.file_digest(folder / "audit_summary.json"),
+            "audit_summary_sha256": (folder / "audit_summary.json").digest(),
         }
         write_document(folder / "dataset_manifest.json", manifest, canonical=True)
         return summary
@@ -198,6 +198,40 @@ def run_scan(
         return summary
 
 
+def run_verify(
+    spark: SparkSession, scan_dir: str, metadata: str, fasta: str, out: str,
+    splits: tuple[str, ...] = ("discovery", "validation"),
+) -> dict[str, Any]:
+    """Check a finished scan against its records, and its tables against the receipt."""
+    with guarded_folder(out) as folder:
+        stored = documents.load_object(Place(scan_dir) / "scan_summary.json")
+        described = _typed_metadata(spark, metadata).filter("sequence_qc_eligible").select("internal_id", "sequence_sha256")
+        records = materialise(described.join(read_fasta(spark, fasta), "internal_id"))
+        text = delimited.read_csv(spark, f"{scan_dir}/per_sequence_status", set(scan.STATUS_FIELDS))
+        statuses = materialise(text.withColumns({n: F.col(n).try_cast("int") for n in ("n_mapped_residues", "n_match_states")}))
+        cells = delimited.read_csv(spark, f"{scan_dir}/hmm_coordinate_map", set(scan.COORDINATE_FIELDS))
+        numbers = {n: F.col(n).try_cast("int") for n in ("domain_number", "raw_position", "hmm_match_state")}
+        coordinates = materialise(cells.withColumns({**numbers, "is_insertion": F.col("is_insertion") == "True"}))
+        found = materialise(
+            scan.finished_violations(statuses, coordinates, records, int(stored["hmm"]["length"]), splits)
+        )
+        write_csv(found, f"{folder}/violations", ["rule", "key", "detail"], ["rule", "key"])
+        write_csv(
+            scan.reconciled(statuses, coordinates), f"{folder}/counts_per_record",
+            ["internal_id", "n_mapped_residues", "n_mapped_residues_stored", "n_match_states", "n_match_states_stored", "state"],
+            ["internal_id"],
+        )
+        counts = {r["status"]: r["n"] for r in statuses.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+        rows = coordinates.count()
+        summary = {
+            "records": records.count(), "coordinate_rows": rows,
+            "counts_agree": counts == stored["counts"] and rows == stored["n_coordinate_rows"],
+            "violations": {r["rule"]: r["n"] for r in found.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).collect()},
+        }
+        write_document(folder / "verification.json", summary)
+        return summary
+
+
 def run_select(
     spark: SparkSession, inputs: list[str], out: str, profile: pilot.PilotProfile,
     targets: tuple[int, int, int], seed: int,
@@ -253,8 +287,8 @@ def run_parse(
     spark: SparkSession, pilot_dir: str, run_dir: str, rules: HitRules, database: str, accession: str, out: str
 ) -> dict[str, int]:
     """Results of a scan to states, hits and labels. ``run_dir`` holds run_receipt.json and raw/pilot.xml."""
-    run = documents.load_object(Path(run_dir) / "run_receipt.json")
-    xml = Path(run_dir) / "raw" / "pilot.xml"
+    run = documents.load_object(Place(run_dir) / "run_receipt.json")
+    xml = Place(run_dir) / "raw" / "pilot.xml"
     with guarded_folder(out) as folder:
         manifest = delimited.read_csv(spark, f"{pilot_dir}/pilot_manifest")
         sequences = read_fasta(spark, f"{pilot_dir}/pilot_sequences")
@@ -266,7 +300,7 @@ def run_parse(
         error, cause = pilot.global_state(run, xml.exists()), ""
         if not error:
             try:
-                if run.get("xml_sha256") != documents.file_digest(xml):
+                if run.get("xml_sha256") != xml.digest():
                     raise ValueError("Raw XML hash mismatch")
                 root = matches.root_attributes(spark, str(xml))
                 if root.get("interproscan-version") != run.get("tool_version") or not run.get("database_version"):
@@ -277,12 +311,12 @@ def run_parse(
                 c.enforce(pilot.xref_violations(proteins, manifest))
             except (ValueError, OSError, AnalysisException) as problem:  # A result that is wrong, unreadable or no XML.
                 error, cause = "parse_failed", str(problem)
-                (folder / "parse_error.log").write_text(cause, encoding="utf-8")
+                (folder / "parse_error.log").write_text(cause)
             except (PySparkException, Py4JJavaError) as problem:  # Broken XML; a lost executor stays an error.
                 if not re.search("MALFORMED|FAILED_READ_FILE", str(problem)):
                     raise
                 error, cause = "parse_failed", str(problem)
-                (folder / "parse_error.log").write_text(cause, encoding="utf-8")
+                (folder / "parse_error.log").write_text(cause)
         if error:
             labelled = pilot.unparsed_records(manifest, error)
         else:
@@ -334,6 +368,6 @@ def run_report(
         write_csv(table, f"{folder}/pilot_group_summary", table.columns)
         lines = ["# Pilot report", "", *markdown_table(rows, table.columns), ""]
         lines.append("A blank label is not a negative. Pending and reviewed records are not successes.")
-        (folder / "pilot_scan_report.md").write_text("\n".join(lines) + "\n", encoding="utf-8")
+        (folder / "pilot_scan_report.md").write_text("\n".join(lines) + "\n")
         return rows
 

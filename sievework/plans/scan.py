@@ -175,6 +175,45 @@ def coverage_summary(scanned: DataFrame) -> DataFrame:
     )
 
 
+def reconciled(statuses: DataFrame, coordinates: DataFrame) -> DataFrame:
+    """Counts of the status table against the coordinate map, one row per record."""
+    details = {
+        "n_mapped_residues": coordinates.select("internal_id", "raw_position"),
+        "n_match_states": coordinates.select("internal_id", "hmm_match_state"),
+    }
+    return c.reconcile_counts(statuses, details, "internal_id")
+
+
+def finished_violations(
+    statuses: DataFrame, coordinates: DataFrame, records: DataFrame, states: int, splits: tuple[str, ...]
+) -> DataFrame:
+    """What is wrong with a finished scan: its records, states, residues and counts."""
+    name = F.col("internal_id")
+    owners = statuses.filter(F.col("status").isin(*MAPPED)).select("internal_id")
+    wrong = reconciled(statuses, coordinates).filter("state <> 'agrees'")
+    return c.all_violations(
+        [
+            c.unique_key(statuses, ["internal_id"], "status key"),
+            c.set_difference(statuses, records, "internal_id"),
+            c.agreement(statuses, records, "internal_id", ["sequence_sha256"]),
+            c.check(statuses, "split name", F.col("split").isNull() | ~F.col("split").isin(*splits), name),
+            c.violation(
+                coordinates.select("internal_id").distinct().join(owners, "internal_id", "left_anti"),
+                "coordinates without a mapped record", name, "",
+            ),
+            c.coordinate_integrity(
+                coordinates, records, "internal_id", "raw_position", "residue", "sequence",
+                ["internal_id", "domain_number"], "hmm_match_state", states,
+            ),
+            c.check(
+                coordinates, "insertion flag", F.col("is_insertion") != F.col("hmm_match_state").isNull(),
+                F.concat_ws(":", "internal_id", F.col("raw_position").cast("string")),
+            ),
+            c.violation(wrong, "stored counts", name, F.col("state")),
+        ]
+    )
+
+
 def handoff_violations(
     metadata: DataFrame, fasta: DataFrame, manifest: DataFrame, splits: tuple[str, ...]
 ) -> DataFrame:

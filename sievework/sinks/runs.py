@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import platform
 import sys
+import uuid
 from contextlib import contextmanager
 from datetime import datetime, timezone
 from pathlib import Path
@@ -11,6 +12,7 @@ from typing import Any
 
 import pyspark
 
+from .storage import Place
 from .tables import require_fresh
 
 
@@ -29,11 +31,23 @@ def receipt(inputs: dict[str, str], outputs: dict[str, str], seed: int | None =
 
 
 @contextmanager
-def guarded_folder(path: str | Path):
-    """A fresh output folder that is marked as unusable if the job fails."""
-    folder = require_fresh(path)
+def guarded_folder(path: str | Path | Place):
+    """A folder that a job fills out of sight and that gets its name only when all of it is there.
+
+    The job writes beside the target, in a folder whose name starts with ``_`` and which readers
+    therefore skip; one rename makes it visible. So a killed job leaves no target.
+    A job that fails leaves a marker in the target and nothing else.
+    """
+    target = require_fresh(path)
+    work = target.parent / f"_{target.name}-{uuid.uuid4().hex}"
+    work.make()
     try:
-        yield folder
+        yield work
+        if target.exists():
+            target.remove()  # empty, or this fails
+        work.rename(target)
     except Exception:
-        (folder / "FAILED.txt").write_text("Incomplete run; do not use partial outputs.\n", encoding="utf-8")
+        work.remove(whole=True)
+        target.make()
+        (target / "FAILED.txt").write_text("This run did not end; there is no output.\n")
         raise

@@ -9,13 +9,14 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Place
 
-def require_fresh(path: str | Path) -> Path:
-    """A new or empty folder; anything in it is an error."""
-    folder = Path(path)
-    if folder.exists() and any(folder.iterdir()):
-        raise ValueError(f"Refusing to overwrite non-empty output: {folder}; use a new run directory")
-    folder.mkdir(parents=True, exist_ok=True)
+
+def require_fresh(path: str | Path | Place) -> Place:
+    """A folder that is not there yet or empty; anything in it is an error."""
+    folder = Place(path)
+    if folder.exists() and (folder.is_file() or not folder.is_empty()):
+        raise ValueError(f"Refusing to overwrite: {folder} already has content")
     return folder
 
 
@@ -50,15 +51,12 @@ def canonical_json(value: Any) -> bytes:
     return (text + "\n").encode("utf-8")
 
 
-def write_document(path: str | Path, value: dict[str, Any], canonical: bool = False) -> None:
+def write_document(path: str | Path | Place, value: dict[str, Any], canonical: bool = False) -> None:
     """A small JSON document, new each time."""
     body = canonical_json(value) if canonical else (
         json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
     ).encode("utf-8")
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with open(target, "xb") as handle:
-        handle.write(body)
+    Place(path).write_bytes(body)
 
 
 def markdown_table(rows: list[dict[str, Any]], columns: list[str]) -> list[str]:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from xml.sax.saxutils import unescape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +45,49 @@ def read_proteins(spark: SparkSession, path: str, kind: str = "hmmer3") -> DataF
     )
 
 
+def _root_tag(pieces: Iterator[str]) -> str | None:
+    """The start tag of the root; ``pieces`` are the text before each ``>``.
+
+    Comments, instructions and a document type come before it and may hold ``>``
+    and tags; so may the values of attributes.
+    """
+    kind, parts = "", []
+    for piece in pieces:
+        if not kind:
+            start = piece.find("<")
+            if start < 0:
+                continue
+            piece = piece[start:]
+            kind = next((k for k in ("<!--", "<?", "<!") if piece.startswith(k)), "<")
+            parts = []
+        parts.append(piece)
+        if kind == "<!--":
+            done = piece.endswith("--")
+        elif kind == "<?":
+            done = piece.endswith("?")
+        else:
+            text = re.sub(r"\"[^\"]*\"|'[^']*'", "", ">".join(parts))
+            done = '"' not in text and "'" not in text and (kind == "<" or text.count("[") == text.count("]"))
+        if done and kind == "<":
+            return ">".join(parts)
+        kind = "" if done else kind
+    return None
+
+
 def root_attributes(spark: SparkSession, path: str) -> dict[str, str]:
-    """Attributes of the root element, however long the prologue before it.
+    """Attributes of the root element.
 
-    The file is read in pieces that end with ``>``, so only the piece with the
-    first start tag reaches the driver, also if the file is one long line.
+    A task reads the beginning of the file in pieces that end with ``>`` and stops at the
+    root's start tag, which alone comes to the driver.
     """
-    pieces = spark.read.option("lineSep", ">").text(path).withColumn("_at", F.monotonically_increasing_id())
-    starts = pieces.filter(F.col("value").rlike(r"(?s)^(?!\s*<!--).*<[A-Za-z_]")).orderBy("_at").limit(1).collect()
-    root = re.search(r"<[^<>\s]+([^<]*)$", starts[0]["value"]) if starts else None
-    return dict(re.findall(r'([\w:.-]+)\s*=\s*"([^"]*)"', root.group(1))) if root else {}
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tag = _root_tag(x for batch in batches for x in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([tag] if tag else [], pa.string())], names=["tag"])
+
+    pieces = spark.read.option("lineSep", ">").text(path).filter("_metadata.file_block_start = 0").select("value")
+    tags = pieces.mapInArrow(first, "tag string").collect()
+    if not tags:
+        return {}
+    found = re.findall(r"([\w:.-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", tags[0]["tag"])
+    return {name: unescape(a or b, {"&quot;": '"', "&apos;": "'"}) for name, a, b in found}

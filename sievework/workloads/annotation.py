@@ -290,12 +290,27 @@ def coordinate_integrity(spark, folder):
     ).select("rule", "key", "detail")
 
 
+def scan_reconciliation(spark, folder):
+    """Stored counts per part against the rows they count; some are off, some parts are missing or there twice."""
+    parts = table(spark, folder, "part")
+    cells = parts.select("p_partkey", F.posexplode(F.split("p_name", "")).alias("i", "letter")).filter("letter <> ''")
+    key = F.col("p_partkey")
+    length = F.length("p_name")
+    stored = parts.filter(key % 23 != 0).select(
+        "p_partkey", F.when(key % 7 == 0, length - 1).otherwise(length).alias("positions"),
+        F.size(F.array_distinct(F.split("p_name", ""))).alias("letters"),
+    )
+    stored = stored.unionByName(stored.filter(key % 29 == 0))
+    details = {"positions": cells.unionByName(cells).select("p_partkey", "i"), "letters": cells.select("p_partkey", "letter")}
+    return c.reconcile_counts(stored, details, "p_partkey")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         hit_rules, signature_range_filter, hit_classifier, label_precedence, group_summary,
         label_checks, label_domain, align_fold, alignment_rules, deleted_states, coverage_sums, scan_annotation,
-        interval_priority_join, domain_left_join, missing_results, coordinate_integrity,
+        interval_priority_join, domain_left_join, missing_results, coordinate_integrity, scan_reconciliation,
     )
 }
 
@@ -424,6 +439,12 @@ ORACLES = {
         select c_custkey, coalesce(n, 0) as n_results,
           case when n is null then 'result_missing' else 'success' end as state
         from customer left join r on o_custkey = c_custkey""",
+    "scan_reconciliation": """with p as (select p_partkey as k, length(p_name) as positions,
+            len(list_distinct(string_split(p_name, ''))) as letters from part),
+        copies as (select *, case when k % 23 = 0 then 0 when k % 29 = 0 then 2 else 1 end as n from p)
+        select k as p_partkey, positions, letters, n * (positions - case when k % 7 = 0 then 1 else 0 end) as positions_stored,
+          n * letters as letters_stored, case when n = 0 then 'unknown record' when n = 2 then 'repeated record'
+            when k % 7 = 0 then 'differs' else 'agrees' end as state from copies""",
     "coordinate_integrity": """with x as (select p_partkey, p_size, p_name, p_brand, unnest(range(0, length(p_name))) as i from part),
         base as (select p_partkey, p_name, case when p_size = 50 then i else i + 1 end as position,
             case when p_size = 49 then upper(substr(p_name, i + 1, 1)) else substr(p_name, i + 1, 1) end as residue,

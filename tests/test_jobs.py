@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import shutil
 import zipfile
 
 import pytest
@@ -12,6 +13,7 @@ from sievework.functions.rules import HitRules
 from sievework.operators import constraints as c
 from sievework.operators.split import parse_ratios
 from sievework.plans import audit, jobs, pilot, scan
+from sievework.sinks import tables
 from sievework.sources import archives, delimited, documents
 
 PROFILE = audit.AuditProfile("REC_", "xyz", "XyzA", "XyzJ")
@@ -161,6 +163,24 @@ def test_audit_split_and_scan(spark, tmp_path):
     status = {r["internal_id"]: r for r in delimited.read_csv(spark, str(tmp_path / "scan" / "per_sequence_status")).collect()}
     assert status[ids[3]]["residue_coverage"] == "" and status[ids[0]]["residue_coverage"] == "1.0"
 
+    verify = lambda folder, name: jobs.run_verify(
+        spark, str(folder), f"file://{out}/metadata", str(out / "sequences_for_clustering"), f"file://{tmp_path}/{name}"
+    )
+    good = verify(tmp_path / "scan", "verified")
+    assert good == {"records": 59, "coordinate_rows": 19 * 6, "counts_agree": True, "violations": {}}
+    counts = delimited.read_csv(spark, str(tmp_path / "verified" / "counts_per_record"))
+    assert counts.count() == 59 and counts.filter("state <> 'agrees'").isEmpty()
+    spoiled = tmp_path / "spoiled"
+    spoiled.mkdir()
+    shutil.copy(tmp_path / "scan" / "scan_summary.json", spoiled)
+    flags = delimited.read_csv(spark, str(tmp_path / "scan" / "per_sequence_status")).withColumn(
+        "n_match_states", F.when(F.col("internal_id") == ids[0], "5").otherwise(F.col("n_match_states")))
+    tables.write_csv(flags, str(spoiled / "per_sequence_status"), scan.STATUS_FIELDS)
+    moved = coordinates.withColumn("internal_id", F.when(F.col("internal_id") == ids[1], ids[30]).otherwise(F.col("internal_id")))
+    tables.write_csv(moved, str(spoiled / "hmm_coordinate_map"), scan.COORDINATE_FIELDS)
+    bad = verify(spoiled, "verified_again")["violations"]
+    assert bad["stored counts"] == 3 and bad["coordinates without a mapped record"] == 1 and bad["residue identity"] > 0
+
     # A handoff that breaks a rule is refused and leaves a marker.
     broken = tmp_path / "broken"
     with pytest.raises(ValueError, match="coverage"):

@@ -12,6 +12,7 @@ from sievework.plans import release
 from sievework.sinks import fasta as fasta_sink
 from sievework.sinks import tables as sinks
 from sievework.sinks.runs import guarded_folder, receipt
+from sievework.sinks.storage import Place
 from sievework.sources import archives, arrays, delimited, documents, matches, structures
 from sievework.sources.fasta import fasta_violations, headless_files, read_fasta
 
@@ -219,6 +220,36 @@ def test_control_documents(spark, tmp_path):
     assert documents.load_receipt(path)[1][0].endswith("is not a JSON object")
 
 
+@pytest.mark.parametrize("text, found", [
+    ("<?xml version='1.0'?><!-- a > <b c='d'> --><results interproscan-version='5.1'><protein/></results>", {"interproscan-version": "5.1"}),
+    ('<!DOCTYPE r [<!ENTITY x "<y z=\'1\'>">]>\n<r a = "1 > 0" b=\'say "x"\' c="&lt;&quot;"/>', {"a": "1 > 0", "b": 'say "x"', "c": '<"'}),
+    ("\ufeff<n:r xmlns:n='u'>", {"xmlns:n": "u"}), ("no tags", {}), ("<!-- <r a='1'> ", {}),
+])
+def test_root_of_a_scan(spark, tmp_path, text, found):
+    (tmp_path / "x.xml").write_text(text, encoding="utf-8")
+    assert matches.root_attributes(spark, str(tmp_path / "x.xml")) == found
+
+
+def test_output_appears_at_once_or_not_at_all(spark, tmp_path):
+    uri = f"file://{tmp_path}/out"
+    with guarded_folder(uri) as folder:
+        spark.range(3).write.json(f"{folder}/rows")
+        sinks.write_document(folder / "x.json", {"a": 1})
+        assert not (tmp_path / "out").exists()
+    assert documents.load_object(f"{uri}/x.json") == {"a": 1} and spark.read.json(f"{uri}/rows").count() == 3
+    assert Place(f"{uri}/x.json").digest() == documents.file_digest(tmp_path / "out" / "x.json")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+    (tmp_path / "late").mkdir()
+    with pytest.raises(RuntimeError), guarded_folder(f"file://{tmp_path}/late") as folder:
+        sinks.write_document(folder / "x.json", {"a": 1})
+        raise RuntimeError("x")
+    assert [p.name for p in (tmp_path / "late").iterdir() if p.suffix != ".crc"] == ["FAILED.txt"]
+    with pytest.raises(Exception), guarded_folder(tmp_path / "taken"):
+        (tmp_path / "taken").mkdir()
+        (tmp_path / "taken" / "other").write_text("x")
+    assert (tmp_path / "taken" / "other").read_text() == "x"
+
+
 def test_runs_and_registry(spark, tmp_path):
     assert sinks.canonical_json({"b": 1, "a": "é"}) == '{"a":"é","b":1}\n'.encode()
     target = tmp_path / "d" / "x.json"
