@@ -72,7 +72,7 @@ def cut_documents(
     docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k", key: str = "doc_id",
     text: str = "text", end_id: int = 0,
 ) -> DataFrame:
-    """Pieces ``(key, piece, start, length, ids_crc32)``; longer documents give full pieces and a rest.
+    """Pieces ``(key, piece, start, length, ids_crc32)``; a longer document gives what is above full pieces first, then full pieces.
 
     A document is its ids and ``end_id``. NULL texts are empty: one piece with the end id.
     """
@@ -87,8 +87,10 @@ def cut_documents(
                 owner, piece, start, length, crc = [], [], [], [], []
                 for row, value in enumerate(batch.column("_text")):
                     ids = np.append(encode(value.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                    for number, begin in enumerate(range(0, len(ids), capacity)):
-                        part = ids[begin : begin + capacity]
+                    rest = len(ids) % capacity or capacity
+                    borders = [0, *range(rest, len(ids) + 1, capacity)]
+                    for number, (begin, to) in enumerate(zip(borders[:-1], borders[1:])):
+                        part = ids[begin:to]
                         owner.append(row)
                         piece.append(number)
                         start.append(begin)

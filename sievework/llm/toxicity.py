@@ -54,7 +54,7 @@ class Stage:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
+    return np.where(np.isneginf(x), 0.0, 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40))))
 
 
 def _chosen(row: np.ndarray, bucket: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -104,6 +104,14 @@ def _fit(row: np.ndarray, bucket: np.ndarray, before: np.ndarray, target: np.nda
     return Stage(chosen, beta[:width], beta[width:-1], float(beta[-1]))
 
 
+def _fit_known(row: np.ndarray, bucket: np.ndarray, before: np.ndarray, target: np.ndarray, use: np.ndarray) -> Stage:
+    """A link fitted on the rows in ``use``; where these do not show both answers, its probability is 0."""
+    if len(np.unique(target[use])) < 2:
+        return Stage(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(before.shape[1]), -np.inf)
+    new = np.cumsum(use) - 1
+    return _fit(new[row[use[row]]], bucket[use[row]], before[use], target[use])
+
+
 class Chain:
     """Fitted links in the order of their categories."""
 
@@ -112,23 +120,25 @@ class Chain:
 
     @classmethod
     def fit(cls, categories: list[str], rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> Chain:
-        """``rows``: distinct word buckets of each document; ``labels``: a column per category."""
+        """``rows``: distinct word buckets of each document; ``labels``: a column per category, -1 where unknown.
+
+        A link learns from the rows whose own category is known; all rows get its out-of-fold
+        probability, so later links miss none.
+        """
         n = len(rows)
         row = np.repeat(np.arange(n), [len(r) for r in rows])
         bucket = np.concatenate(rows) if n else np.zeros(0, dtype=np.int64)
         names, bucket = np.unique(bucket, return_inverse=True)  # small numbers while fitting
         before, stages = np.zeros((n, 0)), []
         for k in range(len(categories)):
-            target = labels[:, k].astype(float)
-            stages.append(_fit(row, bucket, before, target))
+            target, known = labels[:, k].astype(float), labels[:, k] >= 0
+            stages.append(_fit_known(row, bucket, before, target, known))
             out = np.zeros(n)
             for f in np.unique(fold):
                 inside = fold == f
-                new = np.cumsum(~inside) - 1
-                use = ~inside[row]
-                part = _fit(new[row[use]], bucket[use], before[~inside], target[~inside])
-                mine = np.cumsum(inside) - 1
-                logits = part.logits(mine[row[~use]], bucket[~use], int(inside.sum()), before[inside])
+                part = _fit_known(row, bucket, before, target, known & ~inside)
+                mine, own = np.cumsum(inside) - 1, inside[row]
+                logits = part.logits(mine[row[own]], bucket[own], int(inside.sum()), before[inside])
                 out[inside] = sigmoid(logits)
             before = np.column_stack([before, out])
         for stage in stages:
@@ -148,14 +158,16 @@ def fit_chain(
 ) -> Chain:
     """Fit on at most about ``sample`` labelled documents; ``categories`` are columns over ``labels``.
 
-    Labels with a NULL key or category are left out; of repeated keys the largest
-    label holds. One task fits the bounded sample; the driver gets the weights only.
+    Labels with a NULL key, or without any category, are left out; of repeated keys the largest
+    label holds. A category that no label answers both ways has probability 0 everywhere: so
+    with an empty ``labels`` nothing is toxic. One task fits the bounded sample; the driver
+    gets the weights only.
     """
     wanted = labels.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"), *[c.cast("int").alias(f"_c{i}") for i, c in enumerate(categories.values())]
     )
     flags = [f"_c{i}" for i in range(len(categories))]
-    wanted = wanted.dropna(subset=flags).groupBy("_key").agg(*[F.max(c).alias(c) for c in flags])
+    wanted = wanted.dropna("all", subset=flags).groupBy("_key").agg(*[F.max(c).alias(c) for c in flags])
     total = wanted.count()
     share = F.pmod(F.xxhash64("_key", F.lit(2)), F.lit(1_000_000))
     picked = wanted.filter(share < int(1_000_000 * min(1.0, sample / max(total, 1))))
@@ -178,7 +190,7 @@ def fit_chain(
             ("_fold", pa.int32()), *[(c, pa.int32()) for c in flags], ("_words", pa.list_(pa.int64()))
         ]))
         lists = [np.asarray(r, dtype=np.int64) for r in got.column("_words").to_numpy()]
-        answers = np.column_stack([got.column(c).to_numpy() for c in flags]) if lists else np.zeros((0, len(flags)))
+        answers = np.column_stack([got.column(c).fill_null(-1).to_numpy() for c in flags]) if lists else np.zeros((0, len(flags)))
         sums = np.array([r.sum() for r in lists], dtype=np.int64)
         order = np.lexsort((sums, np.array([len(r) for r in lists], dtype=np.int64)))
         chain = Chain.fit(names, [lists[i] for i in order], answers[order], got.column("_fold").to_numpy()[order])

@@ -188,9 +188,10 @@ def test_packing(spark, awkward):
     ids = [[*reference.encode(t or "", add_special_tokens=False).ids, 0] for _, t, *_ in awkward]
     expected = Counter()
     for (doc, *_), x in zip(awkward, ids):
-        for k in range(0, len(x), 2048):
-            part = b"".join(i.to_bytes(4, "little") for i in x[k : k + 2048])
-            expected[doc, k // 2048, k, len(x[k : k + 2048]), zlib.crc32(part)] += 1
+        ends = sorted(range(len(x), 0, -2048))  # only the first piece may be shorter
+        for number, (k, to) in enumerate(zip([0, *ends], ends)):
+            part = b"".join(i.to_bytes(4, "little") for i in x[k:to])
+            expected[doc, number, k, to - k, zlib.crc32(part)] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pieces) == expected
     bins = defaultdict(list)
     for r in pieces:
@@ -277,8 +278,18 @@ def test_toxicity(spark):
     for r in scored.collect():
         assert (r.p_toxic >= 0.5) == ("vile" in (r.text or "")), r.doc_id
         assert r.text or r.p_toxic == 0.0
-    nothing = toxicity.fit_chain(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int"), toxicity.label_categories())
-    assert toxicity.score_documents(docs, nothing).filter("p_toxic > 0.5").count() in (0, len(rows) - 2)
+    schema = "doc_id long, quality int, toxic int"
+
+    def toxic_with(given, over=docs):
+        fitted = toxicity.fit_chain(over, spark.createDataFrame(given, schema), toxicity.label_categories())
+        return {(r.doc_id, r.text) for r in toxicity.score_documents(docs, fitted).filter("p_toxic >= 0.5").collect()}
+
+    # without labels, or with one answer only, nothing is toxic; labels without a quality are as good as others
+    assert toxic_with([]) == toxic_with([], docs.limit(0)) == set()
+    assert toxic_with([(i, q, None) for i, q, _ in labels]) == toxic_with([(i, 1, 1) for i, *_ in labels]) == set()
+    vile = {(r.doc_id, r.text) for r in scored.filter("p_toxic >= 0.5").collect()}
+    assert toxic_with([(i, None, t) for i, _, t in labels]) == vile
+    assert toxic_with([(i, q if i and i % 3 else None, t) for i, q, t in labels]) == vile
 
 
 def test_language(spark):
