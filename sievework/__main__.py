@@ -83,7 +83,7 @@ def parser() -> argparse.ArgumentParser:
         r.add_argument(f"--{name}", required=True)
     r.set_defaults(run=lambda spark, o: jobs.run_parse(
         spark, o.pilot_dir, o.run_dir, load_rules(o.rules, o.database, o.accession),
-        o.database, o.accession, o.output_dir))
+        o.database, o.accession, o.output_dir, o.rules))
 
     g = sub.add_parser("report", help="group summary of parsed labels")
     g.add_argument("--parsed-dir", required=True)

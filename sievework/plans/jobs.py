@@ -18,7 +18,7 @@ from ..operators.labels import group_summary, label_violations
 from ..operators.quality import COHORT_LABELS
 from ..session import materialise
 from ..sinks import fasta as fasta_sink
-from ..sinks.runs import guarded_folder, receipt
+from ..sinks.runs import guarded_folder, implementation, receipt
 from ..sinks.storage import Place
 from ..sinks.tables import markdown_table, write_csv, write_document, write_json_lines
 from ..sources import archives, delimited, documents, matches
@@ -279,19 +279,39 @@ def run_select(
             },
             limitations="Not a random prevalence sample; the near screen is approximate.",
         )
+        # what a run receipt has to repeat
+        summary["bound_inputs"] = bound_inputs(spark, str(folder), None)
         write_document(folder / "selection_summary.json", summary)
         return summary
 
 
+def bound_inputs(spark: SparkSession, pilot_dir: str, rules_file: str | None) -> dict[str, str]:
+    """Digests that tie a run to what it was given: the stored manifest and sequences, and the rules file."""
+    found = {
+        "manifest_sha256": content_digest(delimited.read_csv(spark, f"{pilot_dir}/pilot_manifest")),
+        "fasta_sha256": content_digest(read_fasta(spark, f"{pilot_dir}/pilot_sequences").select("internal_id", "sequence")),
+    }
+    return {**found, "rules_sha256": Place(rules_file).digest()} if rules_file else found
+
+
 def run_parse(
-    spark: SparkSession, pilot_dir: str, run_dir: str, rules: HitRules, database: str, accession: str, out: str
+    spark: SparkSession, pilot_dir: str, run_dir: str, rules: HitRules, database: str, accession: str, out: str,
+    rules_file: str | None = None,
 ) -> dict[str, int]:
-    """Results of a scan to states, hits and labels. ``run_dir`` holds run_receipt.json and raw/pilot.xml."""
+    """Results of a scan to states, hits and labels. ``run_dir`` holds run_receipt.json and raw/pilot.xml.
+
+    The run receipt must name the digests of ``bound_inputs``: results of other inputs are refused.
+    """
     run = documents.load_object(Place(run_dir) / "run_receipt.json")
     xml = Place(run_dir) / "raw" / "pilot.xml"
     with guarded_folder(out) as folder:
+        bound = bound_inputs(spark, pilot_dir, rules_file)
+        if other := sorted(name for name, digest in bound.items() if run.get(name) != digest):
+            raise ValueError(f"the run receipt belongs to other inputs: {', '.join(other)}")
         manifest = delimited.read_csv(spark, f"{pilot_dir}/pilot_manifest")
-        sequences = read_fasta(spark, f"{pilot_dir}/pilot_sequences")
+        sequences = materialise(read_fasta(spark, f"{pilot_dir}/pilot_sequences"))
+        c.enforce(headless_files(spark, f"{pilot_dir}/pilot_sequences"))
+        c.enforce(fasta_violations(sequences))
         manifest = materialise(
             manifest.withColumn("sequence_length", F.col("sequence_length").try_cast("int"))
             .join(sequences, "internal_id")
@@ -342,7 +362,13 @@ def run_parse(
             hits = pilot.hit_table(labelled, database, str(xml))
             write_csv(hits, f"{folder}/pilot_hits", PILOT_HITS, ["internal_id", "start"])
         rows = labelled.groupBy("scan_status").agg(F.count(F.lit(1)).alias("n")).collect()
-        return {r["scan_status"]: r["n"] for r in rows}
+        counts = {r["scan_status"]: r["n"] for r in rows}
+        inputs = {**bound, "run_receipt_sha256": (Place(run_dir) / "run_receipt.json").digest()}
+        if xml.exists():
+            inputs["xml_sha256"] = xml.digest()
+        outputs = {"pilot_scan_status": content_digest(statuses), "pilot_labels": content_digest(labelled)}
+        write_document(folder / "parse_provenance.json", receipt(inputs, outputs, counts=counts, implementation=implementation()))
+        return counts
 
 
 def run_report(

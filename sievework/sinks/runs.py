@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import platform
 import sys
 import uuid
@@ -30,6 +31,16 @@ def receipt(inputs: dict[str, str], outputs: dict[str, str], seed: int | None =
     }
 
 
+def implementation() -> str:
+    """SHA-256 over the source files of this package, by name."""
+    root = Path(__file__).resolve().parent.parent
+    parts = sorted(p for p in root.rglob("*.py") if p.relative_to(root).parts[0] != "llm")
+    whole = hashlib.sha256()
+    for part in parts:
+        whole.update(f"{part.relative_to(root).as_posix()}\0{hashlib.sha256(part.read_bytes()).hexdigest()}\n".encode())
+    return whole.hexdigest()
+
+
 @contextmanager
 def guarded_folder(path: str | Path | Place):
     """A folder that a job fills out of sight and that gets its name only when all of it is there.

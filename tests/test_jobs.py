@@ -298,7 +298,8 @@ def test_parse_and_report(spark, tmp_path):
     def parse(out, body=None, **change):
         text = body or "".join(x for _, _, x in cases)
         xml.write_text(f'<protein-matches xmlns="http://x" interproscan-version="5.1-1.0">\n{text}\n</protein-matches>\n')
-        receipt = {**base, "xml_sha256": documents.file_digest(xml), **change}
+        bound = jobs.bound_inputs(spark, str(sel), None)
+        receipt = {**base, **bound, "xml_sha256": documents.file_digest(xml), **change}
         (run / "run_receipt.json").write_text(json.dumps(receipt))
         return jobs.run_parse(spark, str(sel), str(run), HitRules(), "Pfam", "S1", str(tmp_path / out))
 
@@ -321,6 +322,12 @@ def test_parse_and_report(spark, tmp_path):
     assert parse("hash", xml_sha256="0") == {"parse_failed": 13}
     assert parse("tool", tool_version="6") == {"parse_failed": 13}
     assert parse("ids", ids=ids[1:]) == {"parse_failed": 13}
+    parse("twice_before", body="<protein><sequence>")
+    with pytest.raises(ValueError, match="other inputs: manifest_sha256"):
+        parse("foreign", manifest_sha256="0" * 64)
+    note = documents.load_object(tmp_path / "twice_before" / "parse_provenance.json")
+    assert set(note["input_sha256"]) == {"manifest_sha256", "fasta_sha256", "run_receipt_sha256", "xml_sha256"}
+    assert note["counts"] == {"parse_failed": 13} and len(note["implementation"]) == 64
     assert parse("cut", body="<protein><sequence>") == {"parse_failed": 13}
     assert parse("twice", body=protein(ids[0], fasta[ids[0]]) * 2) == {"parse_failed": 13}
     labels = delimited.read_csv(spark, str(tmp_path / "twice" / "pilot_labels"))
