@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.rules import bad_number, parse_nonnegative
 from sievework.operators.constraints import coordinate_integrity
-from sievework.plans.release import FROZEN_PATHS, release_errors
+from sievework.plans.release import FROZEN_PATHS, validate_release
 from sievework.sources.delimited import read_csv
 from sievework.sources.fasta import headless_files, read_fasta
 from sievework.sources.matches import root_attributes
@@ -44,9 +44,9 @@ def test_fasta_after_blank_lines(spark, tmp_path):
 
 def test_frozen_names(spark):
     some = dict.fromkeys(list(FROZEN_PATHS)[1:], 1) | {"misspelled": 1}
-    row = spark.range(1).select(F.parse_json(F.lit("{}")).alias("audit"), F.parse_json(F.lit("{}")).alias("mmseqs"), F.parse_json(F.lit("{}")).alias("split"))
-    errors = row.select(F.array_compact(F.flatten(F.array(*[F.array(e) for e in release_errors(some)]))).alias("e")).first()["e"]
-    assert "unknown frozen value: misspelled" in errors and f"missing frozen value: {next(iter(FROZEN_PATHS))}" in errors
+    empty = [F.parse_json(F.lit("{}")).alias(n) for n in ("audit", "mmseqs", "split")]
+    errors = {r["error"] for r in validate_release(spark.range(1).select(F.lit("r").alias("release"), *empty), some).collect()}
+    assert "misspelled is not a frozen name" in errors and f"{next(iter(FROZEN_PATHS))} has no frozen value" in errors
 
 
 def test_coordinates_of_long_sequences(spark):
