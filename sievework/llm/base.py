@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import attach_by_key
 from ..session import shared_folder
 
 
+#: Spark's own setting: drop the shuffle files of a query at its end, not at some later collection of garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,7 +33,15 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, None)
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")  # the written table replaces the shuffles behind it
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(SHUFFLE_CLEANUP)
+            else:
+                self.spark.conf.set(SHUFFLE_CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(kept)] = (kept, path)
         return kept
@@ -107,6 +120,11 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def attached_to_group(rows: DataFrame, groups: DataFrame, root: str, spread: str) -> DataFrame:
+    """``rows`` joined to ``groups``, one row per ``root`` whose ``_weight`` counts its rows; heavy groups are spread by ``spread``."""
+    return attach_by_key(rows, groups, [root], "_weight", F.col(spread)).drop("_weight")
+
+
 def code_point_order(name: str) -> Column:
     """Sort key: NULL last, else the order of UTF-8 bytes, which is that of code points."""
     return F.struct(F.col(name).isNull().alias("_null"), F.col(name).alias("_value"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, attached
+from .base import Scratch, attached, attached_to_group
 from .links import linked_groups, text_key
 from .words import mix, shingles, sub_batches, words
 
@@ -41,11 +41,6 @@ def _surplus(n: np.ndarray, percent: int) -> np.ndarray:
     return 1 + misses(n, percent)
 
 
-def _least_surplus(n: np.ndarray, percent: int) -> np.ndarray:
-    """The same for the smallest set that can be similar to one of ``n`` tokens."""
-    return _surplus(-(-n * percent // 100), percent)
-
-
 def distinct_tokens(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, as signed numbers, and row ends."""
     token, first = shingles(words(column), size)
@@ -190,11 +185,12 @@ def similar_documents(
     token = sets.select("node", F.explode("head").alias("token"))
     several = token.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token")
     shares = token.join(several, "token").groupBy("node").agg(F.count("*").alias("shared"))
-    least = F.udf(lambda n: int(_least_surplus(np.array([n]), percent)[0]), "int")
-    needed = sets.select("n").distinct().withColumn("needed", least("n"))
+    smallest_partner = F.expr(f"(n * {percent}L + 99) div 100")
+    needed = F.expr(f"1 + least_n - (least_n * {percent}L + 99) div 100")
     active = scratch.keep(
-        sets.select("node", "n", "tk").join(shares, "node").join(needed, "n").filter("shared >= needed").select("node", "tk")
-    )
+        sets.select("node", "n", "tk").join(shares, "node").withColumn("least_n", smallest_partner)
+        .filter(F.col("shared") >= needed).select("node", "tk")
+    )
     # the join has brought equal texts together, so one of each is chosen without another shuffle
     texts = narrow.join(active, F.col("_tk") == F.col("tk"), "inner").dropDuplicates(["_tk"]).select("node", "_text")
     full = scratch.keep(_token_sets(texts, size))
@@ -208,17 +204,19 @@ def similar_documents(
     scratch.drop(full, buckets, active)
 
     rooted = scratch.keep(sets.select("d0", "d1", "node", "least").join(groups, "node", "left"))
-    smallest = rooted.filter("root is not null").groupBy("root").agg(F.min("least").alias("group_least"))
-    placed = rooted.join(smallest, "root", "left").select(
+    smallest = rooted.filter("root is not null").groupBy("root").agg(F.min("least").alias("group_least"), F.count("*").alias("_weight"))
+    grouped = attached_to_group(rooted.filter("root is not null"), smallest, "root", "node")
+    alone = rooted.filter("root is null").withColumn("group_least", F.lit(None).cast(rooted.schema["least"].dataType))
+    placed = grouped.unionByName(alone).select(
         "d0", "d1", F.coalesce("group_least", "least").alias("component"), F.coalesce("root", "node").alias("group_id")
     )
     linked = rows.filter("n > 0").join(placed, ["d0", "d1"])
-    alone = rows.filter("n = 0").withColumns({"component": F.col("_key"), "group_id": F.lit(None).cast("long")})
+    empty = rows.filter("n = 0").withColumns({"component": F.col("_key"), "group_id": F.lit(None).cast("long")})
     columns = [
         F.col("_key").alias(key), F.col("_tk").alias("text_key"), F.col("n").cast("long").alias("n_shingles"),
         F.col("component").alias("component_id"), "group_id",
     ]
-    result = scratch.keep(linked.select(*columns).union(alone.select(*columns)))
+    result = scratch.keep(linked.select(*columns).union(empty.select(*columns)))
     scratch.drop(sets, rows, groups, rooted)
     return result
 
