@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 # Element names and name parts with a set meaning on web pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset(
-    "head title script style noscript template nav footer aside form select button textarea menu dialog "
-    "iframe object svg math canvas audio video datalist fieldset label".split()
+MUTE = frozenset(
+    "head title script style noscript template select button textarea dialog iframe object svg math canvas audio video "
+    "datalist label".split()
 )
+APART = frozenset("nav footer aside form menu fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -40,6 +41,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SMOOTH = 2
+LINKED = 0.2  # what a character of link text counts
+CLUTTERED = 1e-6  # evidence of a path through an element that names clutter
+MENU = 0.005  # evidence of a path that holds links only
+EASED = 0.5  # the threshold inside a container; unlinked text never falls below, as its own share of the kernel is 0.4
+FLOOR = 0.1  # the smallest threshold outside
 DEEPEST = 512  # deeper elements become siblings, as in browsers; their text stays
 
 
@@ -72,11 +78,15 @@ def attributes_of(text: str) -> dict[str, str]:
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "silent", "link", "depth", "article", "header")
+    """An open element. ``mute``: its text is never shown as text; ``apart``: it or an element above names clutter."""
 
-    def __init__(self, tag: str, parent: Element | None, silent: bool):
-        self.tag, self.parent, self.silent = tag, parent, silent
-        self.path = f"{parent.path}>{tag}" if parent and parent.depth < 64 else tag
+    __slots__ = ("tag", "parent", "block", "path", "mute", "apart", "link", "depth", "article", "header")
+
+    def __init__(self, tag: str, parent: Element | None, mute: bool, apart: bool, name: str = ""):
+        self.tag, self.parent, self.mute, self.apart = tag, parent, mute, apart
+        self.block = self if parent is None or tag in BLOCKS else parent.block
+        part = f"{tag}.{name}" if name else tag
+        self.path = f"{parent.path}>{part}" if parent and parent.depth < 64 else part
         self.link = tag == "a" or bool(parent and parent.link)
         self.depth = parent.depth + 1 if parent else 0
         self.article = tag in ("article", "main") or bool(parent and parent.article)
@@ -104,7 +114,7 @@ class Leaves:
     """Text leaves ``(element, block number, text)`` of a page, in order."""
 
     def __init__(self, html: str):
-        self.top = self.now = Element("", None, False)
+        self.top = self.now = Element("", None, False, False)
         self.block, self.leaves = 0, []
         at = 0
         while m := TOKEN.search(html, at):
@@ -160,19 +170,23 @@ class Leaves:
                 break
             at = at.parent
         inside = self.now if self.now.depth < DEEPEST else self.now.parent
-        clutter = bool(attrs) and bool(TELLING.search(attrs)) and is_clutter(tag, attributes_of(attrs))
-        silent = inside.silent or tag in SILENT or clutter
+        given = attributes_of(attrs) if attrs and TELLING.search(attrs) else {}
+        clutter = bool(given) and is_clutter(tag, given)
+        apart = inside.apart or tag in APART or clutter
         if tag == "header" and not inside.article:
-            silent = True
+            apart = True
         if inside.header and tag in ("p", "div", "ul", "span", "time", "address"):
-            silent = True
-        if silent and not clutter and tag in ("main", "article") and self._only_form_hides(inside):
-            silent = False
-        self.now = Element(tag, inside, silent)
+            apart = True
+        if apart and not clutter and tag in ("main", "article") and self._only_form_hides(inside):
+            apart = False
+        # clutter within a line has no path of its own
+        mute = inside.mute or tag in MUTE or (apart and not inside.apart and tag not in BLOCKS and tag not in APART)
+        name = re.sub(r"\d+", "", (given.get("class") or given.get("id") or "").split(" ")[0].lower())
+        self.now = Element(tag, inside, mute, apart, name)
 
     def _only_form_hides(self, inside: Element) -> bool:
         """Some pages wrap everything in one form."""
-        return all(e.tag == "form" for e in inside.chain() if e.parent and e.silent and not e.parent.silent)
+        return all(e.tag == "form" for e in inside.chain() if e.parent and e.apart and not e.parent.apart)
 
     def _end(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -189,99 +203,125 @@ class Leaves:
             at = at.parent
 
 
-def path_scores(leaves: list[tuple[Element, int, str]]) -> dict[str, float]:
-    """Text length and punctuation per leaf of each tag path, smoothed over the page and fused."""
-    size, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
-    for element, _, text in leaves:
-        body = text.strip()
-        if body:
-            count[element.path] += 1
-            size[element.path] += 0.2 * len(body) if element.link else len(body)
-            marks[element.path] += 0 if element.link else len(MARKS.findall(body))
-    rows = [e.path for e, _, t in leaves if t.strip()]
-    lengths = [size[p] / count[p] for p in rows]
-    points = [marks[p] / count[p] for p in rows]
+class Block:
+    """One line of a page: its block element, its text, and how much of it is link text."""
+
+    __slots__ = ("element", "path", "apart", "text", "linked", "marks")
+
+    def __init__(self, parts: list[tuple[Element, str]]):
+        first = next(e for e, t in parts if t.strip())
+        self.element = first.block
+        self.apart = first.apart
+        self.path = ("!" if self.apart else "") + first.block.path
+        self.text = " ".join("".join(t for _, t in parts).split())
+        self.linked = min(len(self.text), sum(len(" ".join(t.split())) for e, t in parts if e.link))
+        self.marks = sum(len(MARKS.findall(t)) for e, t in parts if not e.link)
+
+
+def blocks_of(html: str) -> list[Block]:
+    held: dict[int, list[tuple[Element, str]]] = defaultdict(list)
+    for element, number, text in Leaves(html).leaves:
+        if not element.mute:
+            held[number].append((element, text))
+    return [Block(parts) for parts in held.values() if any(t.strip() for _, t in parts)]
+
+
+def smoothed(values: list[float]) -> list[float]:
+    """The geometric mean of each value and its neighbourhood on the page by a Gauss kernel.
+
+    So content lifts what stands between it, and a boundary stays one.
+    """
     kernel = [math.exp(-(k * k) / 2.0) for k in range(-SMOOTH, SMOOTH + 1)]
+    out = []
+    for i in range(len(values)):
+        near = [(kernel[k + SMOOTH], values[i + k]) for k in range(-SMOOTH, SMOOTH + 1) if 0 <= i + k < len(values)]
+        out.append(math.sqrt(values[i] * sum(w * v for w, v in near) / sum(w for w, _ in near)))
+    return out
 
-    def smooth(values: list[float]) -> list[float]:
-        out = []
-        for i in range(len(values)):
-            near = [(kernel[k + SMOOTH], values[i + k]) for k in range(-SMOOTH, SMOOTH + 1) if 0 <= i + k < len(values)]
-            out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
-        return out
 
-    fused = defaultdict(list)
-    for path, a, b in zip(rows, smooth(lengths), smooth(points)):
-        fused[path].append(a * (1.0 + b))
-    return {path: sum(v) / len(v) for path, v in fused.items()}
+def path_scores(blocks: list[Block]) -> dict[str, float]:
+    """The fused ratio of each tag path.
+
+    Text length and punctuation per block of a path are smoothed over the page in
+    its order and multiplied; the mean over a path's blocks is weighed by the share of
+    its text that is no link, and by whether it leads through an element that names clutter.
+    """
+    size, marks, count, linked, total = (defaultdict(float) for _ in range(5))
+    for b in blocks:
+        count[b.path] += 1
+        size[b.path] += len(b.text) - (1 - LINKED) * b.linked
+        marks[b.path] += b.marks
+        linked[b.path] += b.linked
+        total[b.path] += len(b.text)
+    lengths = smoothed([size[b.path] / count[b.path] for b in blocks])
+    points = smoothed([1.0 + marks[b.path] / count[b.path] for b in blocks])
+    fused: dict[str, float] = defaultdict(float)
+    for b, length, point in zip(blocks, lengths, points):
+        fused[b.path] += length * point / count[b.path]
+    out = {}
+    for path, score in fused.items():
+        share = linked[path] / total[path]
+        evidence = MENU if share > 0.99 else 1.0
+        out[path] = score * evidence * (CLUTTERED if path.startswith("!") else 1.0)
+    return out
 
 
 def main_text(html: str | None) -> str:
     """The article of one page: its blocks in order, one per line.
 
-    Elements that cannot belong to an article (by tag, role or class name) are
-    left out first. Tag paths whose fused ratio reaches the spread of all
-    ratios are content. All outermost ``article`` (or else ``main``) elements with
-    content, or else the smallest element that holds all of it, are containers,
-    and all blocks in them count, short ones too, except mere link lists. Blocks
-    with content outside of these elements count too.
+    Paths whose fused score reaches the spread of all scores are content. All
+    outermost ``article`` (or else ``main``) elements with content, or else the
+    smallest element that holds all of it, are containers. In them a path needs
+    only ``EASED``: short blocks count too, mere link lists and paths through
+    clutter do not. Outside of them only content counts.
     """
-    if not html:
+    blocks = blocks_of(html) if html else []
+    if not blocks:
         return ""
-    parser = Leaves(html)
-    leaves = [x for x in parser.leaves if not x[0].silent]
-    if not any(t.strip() for _, _, t in leaves):
-        return ""
-    scores = path_scores(leaves)
+    scores = path_scores(blocks)
     mean = sum(scores.values()) / len(scores)
     spread = math.sqrt(sum((s - mean) ** 2 for s in scores.values()) / len(scores))
-    limit = min(max(scores.values()), spread)
-    own, held = defaultdict(float), {}
-    for element, _, text in leaves:
-        held[id(element)] = element
-        if text.strip() and scores[element.path] >= limit:
-            own[id(element)] += len(text.strip()) * (0.2 if element.link else 1.0)
-    total = sum(own.values())
-    weight: dict[int, float] = defaultdict(float)
-    elements: dict[int, Element] = {}
-    for key, element in held.items():
-        for above in element.chain():
-            weight[id(above)] += own[key]
-            elements[id(above)] = above
-    named = [e for e in elements.values() if e.tag in ("article", "main")]
-    articles = [e for e in named if e.tag == "article"] or named
-    if articles:
-        tag = articles[0].tag
-        outermost = [e for e in articles if not any(above.tag == tag for above in e.chain() if above is not e)]
-        containers = [e for e in outermost if weight[id(e)]]
-        if not containers:
-            containers = [max(articles, key=lambda e: sum(len(t.strip()) for x, _, t in leaves if e in x.chain()))]
-    else:
-        holding = [e for e in elements.values() if weight[id(e)] >= total * (1 - 1e-9) and (e.tag in BLOCKS or e is parser.top)]
-        container = max(holding, key=lambda e: e.depth)
-        if container.tag in ("p", "li", "td", "th", "tr", "tbody", "blockquote", *HEADINGS) and container.parent:
-            container = container.parent
-        containers = [container]
-    chosen = {id(e) for e in containers}
-    inside = {key for key, e in held.items() if any(id(above) in chosen for above in e.chain())}
-    passed = {block for e, block, _ in leaves if own[id(e)] and id(e) not in inside}
-    blocks: dict[int, list[tuple[str, bool]]] = {}
-    for element, block, text in leaves:
-        if id(element) in inside or block in passed:
-            blocks.setdefault(block, []).append((text, element.link))
+    limit = max(FLOOR, min(max(scores.values()), spread))
+    content = [b for b in blocks if scores[b.path] >= limit]
+    containers = _containers(blocks, content)
     lines = []
-    for number, parts in blocks.items():
-        line = " ".join("".join(t for t, _ in parts).split())
-        linked = sum(len(t.strip()) for t, link in parts if link)
-        if line and (articles and number not in passed or linked <= 0.7 * len(line)):
-            lines.append(line)
+    for b in blocks:
+        inside = not b.apart and any(id(e) in containers for e in b.element.chain())
+        if scores[b.path] >= (min(EASED, limit) if inside else limit):
+            lines.append(b.text)
     return "\n".join(lines)
 
 
+def _containers(blocks: list[Block], content: list[Block]) -> set[int]:
+    """The elements (by ``id``) in which short blocks count too."""
+    plain = [b for b in blocks if not b.apart]
+    named = {id(e): e for b in plain for e in b.element.chain() if e.tag in ("article", "main")}
+    tag = "article" if any(e.tag == "article" for e in named.values()) else "main"
+    outermost = {k for k, e in named.items() if e.tag == tag and not any(up.tag == tag for up in e.chain() if up is not e)}
+    held = {id(e) for b in content for e in b.element.chain()} & outermost
+    if held or outermost:
+        if held:
+            return held
+        size = {k: sum(len(b.text) for b in plain if any(id(e) == k for e in b.element.chain())) for k in outermost}
+        return {max(size, key=size.get)}
+    if not content:
+        return set()
+    common = [id(e) for e in content[0].element.chain()]
+    elements = {id(e): e for e in content[0].element.chain()}
+    for b in content[1:]:
+        own = {id(e) for e in b.element.chain()}
+        common = [k for k in common if k in own]
+    at = elements[common[0]]
+    while at.parent and at.tag in ("p", "li", "td", "th", "tr", "tbody", "blockquote", *HEADINGS):
+        at = at.parent
+    return {id(at)}
+
+
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """All columns of ``pages`` and ``_main_text``; pages are independent of each other.
 
-    NULL and empty pages, and pages without content, give an empty text.
+    NULL and empty pages, and pages without content, give an empty text. Repeated rows
+    stay; a column ``_main_text`` that the pages have already is replaced.
     """
 
     @F.pandas_udf("string")
