@@ -30,6 +30,10 @@ from .words import mix, shingles, sub_batches, words
 
 RARE = 32  # a token of at most so many sets is indexed alone
 
+#: Bits of a token that the first pass keeps. Tokens that fall together only let more sets pass on to the exact join;
+#: among 10**13 tokens it is one in thirty.
+KEPT = 48
+
 
 def misses(n: np.ndarray, percent: int) -> np.ndarray:
     """How many of its ``n`` tokens a set may lack in a similar one, at most."""
@@ -55,7 +59,7 @@ def distinct_tokens(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """``(…, n, d0, d1, head)``: set size, digest of the set and its longer prefix in hash order."""
+    """``(…, n, d0, d1, head)``: set size, digest of the set and its longer prefix in hash order, shortened to ``KEPT`` bits."""
     given = [f.name for f in texts.schema.fields if f.name != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +76,8 @@ def _prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 length = np.minimum(n, misses(n, percent) + _surplus(n, percent))
                 inside = np.arange(len(token)) - ends[row] < length[row]
                 offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                heads = pa.ListArray.from_arrays(pa.array(offsets), pa.array(token[inside]))
+                short = (token[inside].view(np.uint64) >> np.uint64(64 - KEPT)).view(np.int64)
+                heads = pa.ListArray.from_arrays(pa.array(offsets), pa.array(short))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c) for c in given], pa.array(n.astype(np.int32)), *digests, heads],
                     names=[*given, "n", "d0", "d1", "head"],
@@ -175,11 +180,16 @@ def similar_documents(
     heads = scratch.keep(_prefixes(narrow, size, percent))
     sets = scratch.keep(
         heads.filter("n > 0").groupBy("d0", "d1")
-        .agg(F.min("_key").alias("least"), F.min("_tk").alias("tk"), F.first("n").alias("n"), F.first("head").alias("head"))
+        .agg(
+            F.min("_key").alias("least"), F.min(F.struct(F.col("_tk").alias("tk"), F.xxhash64("_key").alias("kh"))).alias("at"),
+            F.first("n").alias("n"), F.first("head").alias("head"),
+        )
+        .select("d0", "d1", "least", "at.tk", "at.kh", "n", "head")
         .withColumn("node", F.monotonically_increasing_id())
     )
     rows = scratch.keep(heads.drop("head"))
     scratch.drop(heads)
+    lean = scratch.keep(sets.drop("head"))
 
     # 1. sets whose longer prefixes share enough tokens with others
     token = sets.select("node", F.explode("head").alias("token"))
@@ -188,11 +198,13 @@ def similar_documents(
     smallest_partner = F.expr(f"(n * {percent}L + 99) div 100")
     needed = F.expr(f"1 + least_n - (least_n * {percent}L + 99) div 100")
     active = scratch.keep(
-        sets.select("node", "n", "tk").join(shares, "node").withColumn("least_n", smallest_partner)
-        .filter(F.col("shared") >= needed).select("node", "tk")
+        sets.select("node", "n", "tk", "kh").join(shares, "node").withColumn("least_n", smallest_partner)
+        .filter(F.col("shared") >= needed).select("node", "tk", "kh")
     )
-    # the join has brought equal texts together, so one of each is chosen without another shuffle
-    texts = narrow.join(active, F.col("_tk") == F.col("tk"), "inner").dropDuplicates(["_tk"]).select("node", "_text")
+    scratch.drop(sets)
+    # one row per set, by text and key, so that copies of a text do not meet in one task
+    placed = narrow.select("_text", F.col("_tk").alias("tk"), F.xxhash64("_key").alias("kh"))
+    texts = placed.join(active, ["tk", "kh"]).dropDuplicates(["tk", "kh"]).select("node", "_text")
     full = scratch.keep(_token_sets(texts, size))
 
     # 2. rare tokens first; single rare tokens and pairs of frequent ones
@@ -203,7 +215,7 @@ def similar_documents(
     groups = linked_groups(scratch, buckets, full, percent)
     scratch.drop(full, buckets, active)
 
-    rooted = scratch.keep(sets.select("d0", "d1", "node", "least").join(groups, "node", "left"))
+    rooted = scratch.keep(lean.select("d0", "d1", "node", "least").join(groups, "node", "left"))
     smallest = rooted.filter("root is not null").groupBy("root").agg(F.min("least").alias("group_least"), F.count("*").alias("_weight"))
     grouped = attached_to_group(rooted.filter("root is not null"), smallest, "root", "node")
     alone = rooted.filter("root is null").withColumn("group_least", F.lit(None).cast(rooted.schema["least"].dataType))
@@ -217,7 +229,7 @@ def similar_documents(
         F.col("component").alias("component_id"), "group_id",
     ]
     result = scratch.keep(linked.select(*columns).union(empty.select(*columns)))
-    scratch.drop(sets, rows, groups, rooted)
+    scratch.drop(lean, rows, groups, rooted)
     return result
 
 
