@@ -65,8 +65,9 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = graph.near_duplicates(Scratch(spark), table(spark, sf_dir, "embeddings"), threshold=0.9)
-    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    """Links and component of every vector, and the recall that the audit found."""
+    found, recall = graph.near_duplicates(Scratch(spark), table(spark, sf_dir, "embeddings"), threshold=0.9)
+    return found.withColumns({"kept": F.col("vec_id") == F.col("component_id"), "recall": F.lit(float(recall))})
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
