@@ -10,10 +10,11 @@ from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from .operators.split import parse_ratios
-from .plans import jobs, release
+from .plans import evidence, jobs, release
 from .plans.audit import AuditProfile
 from .plans.pilot import PilotProfile
 from .plans.scan import ProfileModel
+from .sinks.storage import Place
 from .sources.delimited import read_csv
 from .sources.documents import load_object, load_rules
 
@@ -28,6 +29,41 @@ def _ratios(text: str) -> dict[str, float]:
         raise argparse.ArgumentTypeError(str(error)) from error
 
 
+def _profile_options(job: argparse.ArgumentParser) -> None:
+    """A profile by its file and download receipt, or by three numbers."""
+    for name in ("profile", "profile-receipt", "profile-url", "accession"):
+        job.add_argument(f"--{name}")
+    job.add_argument("--profile-length", type=int)
+    job.add_argument("--sequence-cutoff", type=float)
+    job.add_argument("--domain-cutoff", type=float)
+    job.add_argument("--boundary-bits", type=float, default=2.0)
+
+
+def _profile(spark: SparkSession, o) -> tuple[ProfileModel, dict[str, str]]:
+    file = (o.profile, o.profile_receipt, o.profile_url, o.accession)
+    numbers = (o.profile_length, o.sequence_cutoff, o.domain_cutoff)
+    if all(file) and numbers == (None, None, None):
+        return evidence.load_profile(spark, *file, o.boundary_bits)
+    if None in numbers or any(file):
+        raise ValueError("give the profile, its receipt, url and accession, or else its length and both cutoffs")
+    return ProfileModel(*numbers, o.boundary_bits), {}
+
+
+def _scan(spark: SparkSession, o) -> dict:
+    model, bound = _profile(spark, o)
+    return jobs.run_scan(
+        spark, o.metadata, o.fasta, o.split_manifest, o.cutoff_hits, o.permissive_hits, model, o.output_dir, bound=bound
+    )
+
+
+def _structure(spark: SparkSession, o) -> dict:
+    model, bound = _profile(spark, o)
+    if o.structure_receipt:
+        digest = evidence.check_download(spark, o.structures, o.structure_receipt, o.structure_url)
+        bound = {**bound, "structure": digest, "structure_receipt": Place(o.structure_receipt).digest()}
+    return evidence.run_structure(spark, o.structures, o.chain, o.hits, model, o.output_dir, bound)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="sievework", description=__doc__)
     sub = top.add_subparsers(dest="job", required=True)
@@ -57,13 +93,30 @@ def parser() -> argparse.ArgumentParser:
     n = sub.add_parser("scan", help="search hits to states and coordinates")
     for name in ("metadata", "fasta", "split-manifest", "cutoff-hits", "permissive-hits", "output-dir"):
         n.add_argument(f"--{name}", required=True)
-    n.add_argument("--profile-length", type=int, required=True)
-    n.add_argument("--sequence-cutoff", type=float, required=True)
-    n.add_argument("--domain-cutoff", type=float, required=True)
-    n.add_argument("--boundary-bits", type=float, default=2.0)
-    n.set_defaults(run=lambda spark, o: jobs.run_scan(
-        spark, o.metadata, o.fasta, o.split_manifest, o.cutoff_hits, o.permissive_hits,
-        ProfileModel(o.profile_length, o.sequence_cutoff, o.domain_cutoff, o.boundary_bits), o.output_dir))
+    _profile_options(n)
+    n.set_defaults(run=_scan)
+
+    t = sub.add_parser("structure", help="deposited residues of structures to models and match states")
+    for name in ("structures", "chain", "hits", "output-dir"):
+        t.add_argument(f"--{name}", required=True)
+    _profile_options(t)
+    t.add_argument("--structure-receipt", help="download receipt of a single structure file")
+    t.add_argument("--structure-url")
+    t.set_defaults(run=_structure)
+
+    f = sub.add_parser("figures", help="the values behind the figures, and spot checks")
+    for name in ("metadata", "clusters-tsv", "scan-dir", "output-dir", "dataset", "split"):
+        f.add_argument(f"--{name}", required=True)
+    f.add_argument("--residue-map", help="residue_map of a structure run")
+    f.set_defaults(run=lambda spark, o: evidence.run_figures(
+        spark, o.metadata, o.clusters_tsv, o.scan_dir, o.output_dir, o.dataset, o.split, o.residue_map))
+
+    e = sub.add_parser("artifacts", help="stored files against the digests in receipts")
+    e.add_argument("--listing", required=True, help="JSON object with artifacts: artifact, location, receipt, field")
+    e.add_argument("--receipt", action="append", required=True, metavar="NAME=FILE")
+    e.add_argument("--output-dir", required=True)
+    e.set_defaults(run=lambda spark, o: evidence.run_artifacts(
+        spark, o.listing, dict(item.split("=", 1) for item in o.receipt), o.output_dir))
 
     p = sub.add_parser("select", help="screen and select a pilot")
     p.add_argument("--input-json", required=True)

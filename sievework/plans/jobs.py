@@ -141,9 +141,12 @@ def _typed_metadata(spark: SparkSession, path: str) -> DataFrame:
 def run_scan(
     spark: SparkSession, metadata: str, fasta: str, manifest: str, cutoff_hits: str,
     permissive_hits: str, model: scan.ProfileModel, out: str,
-    splits: tuple[str, ...] = ("discovery", "validation"),
+    splits: tuple[str, ...] = ("discovery", "validation"), bound: dict[str, str] | None = None,
 ) -> dict[str, Any]:
-    """Check the handoff, then turn the hits of the outside search into states and coordinates."""
+    """Check the handoff, then turn the hits of the outside search into states and coordinates.
+
+    ``bound`` are digests of further inputs, such as the profile and its download receipt.
+    """
     with guarded_folder(out) as folder:
         described = materialise(_typed_metadata(spark, metadata))
         sequences = materialise(read_fasta(spark, fasta))
@@ -183,7 +186,7 @@ def run_scan(
         ).first().asDict()
         summary = receipt(
             {"metadata.csv": content_digest(described), "sequences.fasta": content_digest(sequences),
-             "split_manifest.csv": content_digest(parts)},
+             "split_manifest.csv": content_digest(parts), **(bound or {})},
             {"per_sequence_status.csv": content_digest(statuses),
              "hmm_coordinate_map.csv": content_digest(coordinates)},
             hmm={"length": model.length, "ga_sequence_bits": model.sequence_cutoff,

@@ -105,6 +105,24 @@ def coordinate_spot_checks(coordinates: DataFrame, metadata: DataFrame, status:
     )
 
 
+def structure_spot_checks(residues: DataFrame) -> DataFrame:
+    """One residue with a model and a match state, and one without a model, from a residue map as text."""
+    modelled = F.col("modeled") == "True"
+    ordered = residues.withColumn("_order", F.struct("structure", F.col("deposited_position").try_cast("int")))
+    picks = q.first_where(
+        ordered, "_order",
+        {"structure_modeled": modelled & (F.col("hmm_match_state") != ""), "structure_unmodeled": ~modelled},
+        ["structure", "deposited_position", "residue", "pdb_residue_number", "hmm_match_state"],
+    )
+    place = F.concat(F.lit("position "), "deposited_position", F.lit(" ("), "residue", F.lit(")"))
+    with_model = F.concat(place, F.lit(": model residue "), "pdb_residue_number", F.lit(", match state "), "hmm_match_state")
+    return picks.select(
+        "check", F.col("structure").alias("internal_id"), F.col("structure").alias("sequence_id"),
+        F.when(F.col("structure").isNull(), "none found").when(F.col("check") == "structure_modeled", with_model)
+        .otherwise(F.concat(place, F.lit(": no model"))).alias("conclusion"),
+    )
+
+
 def render_spot_checks(rows: list[dict[str, Any]], dataset: str, split: str) -> str:
     lines = ["# Spot checks", "", f"Dataset `{dataset}`, split `{split}`.", ""]
     lines += markdown_table(rows, ["check", "internal_id", "sequence_id", "conclusion"])

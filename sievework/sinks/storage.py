@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -46,6 +47,17 @@ class Place:
     def is_file(self) -> bool:
         return self.exists() and self._files.getFileStatus(self._at).isFile()
 
+    def size(self) -> int:
+        return self._files.getFileStatus(self._at).getLen()
+
+    def qualified(self) -> str:
+        """The path with scheme and host, as Spark's readers name it."""
+        return self._files.makeQualified(self._at).toString()
+
+    def literal(self) -> str:
+        """The path for a reader that takes patterns, meaning this file alone."""
+        return re.sub(r"([\\\[\]{}*?])", r"\\\1", self.path)
+
     def is_empty(self) -> bool:
         """Whether a folder holds nothing."""
         return not len(self._files.listStatus(self._at))
