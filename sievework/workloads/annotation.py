@@ -274,16 +274,15 @@ def coordinate_integrity(spark, folder):
     """Letters of every part name by position, some spoiled, checked against the name."""
     parts = table(spark, folder, "part")
     cells = parts.select(
-        "p_partkey", "p_size", F.posexplode(F.split("p_name", "")).alias("i", "letter")
+        "p_partkey", "p_size", "p_brand", F.posexplode(F.split("p_name", "")).alias("i", "letter")
     ).filter("letter <> ''")
     position = F.when(F.col("p_size") == 50, F.col("i")).otherwise(F.col("i") + 1)
     letter = F.when(F.col("p_size") == 49, F.upper("letter")).otherwise(F.col("letter"))
     coordinates = cells.select(
         "p_partkey", position.alias("position"), letter.alias("residue"),
-        (F.col("i") + F.col("p_size")).alias("state"),
+        (F.col("i") + F.col("p_size")).alias("state"), "p_brand",
     )
-    doubled = parts.filter("p_brand = 'Brand#7'").select("p_partkey")
-    twice = coordinates.join(doubled, "p_partkey", "left_semi").filter("position = 2")
+    twice = coordinates.filter("p_brand = 'Brand#7' and position = 2")
     return c.coordinate_integrity(
         coordinates.unionByName(twice), parts, "p_partkey", "position", "residue", "p_name",
         ["p_partkey"], "state", 60,

@@ -55,3 +55,22 @@ def test_coordinates_of_long_sequences(spark):
     rows = [("s", 1, "A", "u"), ("s", 20000, "E", "u"), ("s", 20001, "A", "u"), ("s", 2, "X", "u"), ("t", 1, "A", "u")]
     found = coordinate_integrity(spark.createDataFrame(rows, "id string, pos int, res string, unit string"), sequences, "id", "pos", "res", "seq", ["id", "unit"])
     assert found.count() == 3
+
+
+def test_coordinate_check_sends_no_letters_whole(spark, tmp_path):
+    spark.range(3000).selectExpr("cast(id as string) id", "repeat('ACDEF', 20 + int(id % 30)) seq").write.parquet(str(tmp_path / "s"))
+    sequences = spark.read.parquet(str(tmp_path / "s"))
+    cells = sequences.select("id", F.posexplode(F.split("seq", "")).alias("i", "res")).filter("res <> ''")
+    cells = cells.select("id", (F.col("i") + 1).alias("pos"), F.when(F.col("i") == 65, "X").otherwise(F.col("res")).alias("res"))
+    odd = spark.createDataFrame(
+        [("0", 64, "E"), ("0", 101, "A"), ("0", 0, "C"), ("none", 5, "A"), (None, 5, "A"), ("1", None, "C"), ("1", 2, None)], "id string, pos int, res string"
+    )
+    found = coordinate_integrity(cells.filter("id >= '2'").unionByName(odd).unionByName(odd.limit(1)), sequences, "id", "pos", "res", "seq", ["id"])
+    rows = sorted(map(tuple, found.filter("detail <> 'A' or key is null or key < '2'").collect()), key=str)
+    assert rows == sorted([
+        ("coordinate uniqueness", "0,64", "2 rows"), ("residue identity", "0:101", ""), ("residue identity", "0:0", "A"),
+        ("residue identity", "none:5", "unknown sequence"), ("residue identity", "5", ""), ("residue identity", "1", "A"),
+        ("coordinate uniqueness", "5", "blank key"), ("coordinate uniqueness", "1", "blank key"),
+    ], key=str)
+    assert found.filter("rule = 'residue identity' and detail = 'A' and key like '%:66'").count() == cells.filter("id >= '2' and pos = 66").count()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
