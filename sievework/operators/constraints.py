@@ -201,12 +201,13 @@ def reconcile_counts(
     ``expected`` has one row per record, ``identity`` and a column per name of ``details``;
     each detail table has ``identity`` and the value of which distinct ones are counted.
     Every table is first cut to one row per distinct pair, so no key of a
-    shuffle is one record alone, and records meet as partial sums. Returns all records with
+    shuffle is one record alone, and records meet as partial sums. The rows are dealt by pair
+    before anything is gathered, to tasks of bounded size. Returns all records with
     ``<name>`` (counted), ``<name>_stored`` and ``state``: agrees, differs, unknown record, repeated record.
     """
     zero = F.lit(0).cast("bigint")
     parts = [
-        expected.select(
+        spread(expected, [identity]).select(
             identity, F.lit(1).cast("bigint").alias("_records"), *[zero.alias(n) for n in details],
             *[F.coalesce(F.col(n).cast("bigint"), zero).alias(f"{n}_stored") for n in details],
         )
@@ -214,7 +215,7 @@ def reconcile_counts(
     for name, rows in details.items():
         value = next(c for c in rows.columns if c != identity)
         parts.append(
-            rows.filter(F.col(value).isNotNull()).distinct().select(
+            spread(rows.select(identity, value).filter(F.col(value).isNotNull()), [identity, value]).distinct().select(
                 identity, zero.alias("_records"), *[F.lit(int(n == name)).cast("bigint").alias(n) for n in details],
                 *[zero.alias(f"{n}_stored") for n in details],
             )

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions.rules import bad_number, parse_nonnegative
+from sievework.operators import constraints
 from sievework.operators.constraints import coordinate_integrity
 from sievework.plans.release import FROZEN_PATHS, validate_release
 from sievework.sources.delimited import read_csv
@@ -74,3 +75,19 @@ def test_coordinate_check_sends_no_letters_whole(spark, tmp_path):
     ], key=str)
     assert found.filter("rule = 'residue identity' and detail = 'A' and key like '%:66'").count() == cells.filter("id >= '2' and pos = 66").count()
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(constraints, "ROWS_A_TASK", 100, raising=False)
+    cells = spark.range(500).selectExpr("cast(id % 7 as int) k", "if(id % 11 = 0, null, int(id % 50)) v")
+    stored = spark.createDataFrame([(k, 40 + k) for k in (*range(6), 5, 9)] + [(0, None)], "k int, n int")
+    table = constraints.reconcile_counts(stored, {"n": cells}, "k")
+    want = {k: len({i % 50 for i in range(500) if i % 7 == k and i % 11}) for k in range(7)}
+    got = {r["k"]: (r["n"], r["n_stored"], r["state"]) for r in table.collect()}
+    plain = {k: (want[k], 40 + k, "agrees" if want[k] == 40 + k else "differs") for k in range(1, 5)}
+    assert got == plain | {
+        0: (want[0], 40, "repeated record"), 5: (want[5], 90, "repeated record"), 6: (want[6], 0, "unknown record"), 9: (0, 49, "differs"),
+    }
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.split("Initial Plan")[-1].splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 2 and any("hashpartitioning(k#" in line and ", 5), REPARTITION_BY_NUM" in line for line in dealt)
