@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sha256
 
-# Letters of a sequence that travel as one row, and rows of a task that groups by nearly unique keys.
+# Letters of a sequence that travel as one row, rows of a task that groups by nearly unique keys,
+# and the tasks to which a shuffle writes rows as they come; for more it sorts those of each map task in memory.
 PIECE = 64
 ROWS_A_TASK = 250_000
+UNSORTED_TASKS = 200
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,8 +22,10 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
 
     Grouping by the same keys then needs no further shuffle and nothing is gathered before this one,
     so where keys rarely repeat a task holds about ``ROWS_A_TASK`` groups, however large an input file is.
+    Beyond ``UNSORTED_TASKS`` tasks that number first grows to 20 times as many.
     """
-    return df.repartition(max(1, math.ceil(df.count() / ROWS_A_TASK)), *keys)
+    tasks = df.count() / ROWS_A_TASK
+    return df.repartition(max(1, math.ceil(min(tasks, UNSORTED_TASKS)), math.ceil(tasks / 20)), *keys)
 
 
 def violation(df: DataFrame, rule: str, key: Column, detail: Column | str) -> DataFrame:
